@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, simhash
+from . import ann, exact_dedup, langid, line_dedup, mixing, packing, secret_scan, simhash, url_rules
 from .common import UPPER, read
 
 
@@ -21,6 +21,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -39,8 +44,32 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_scan.find_secrets(docs, secret_scan.train(docs))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+URL_RULES = (
+    ("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"),
+)
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_rules.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_mixing, op4_packing, op5_language, op6_simhash)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_line_dedup, op3_mixing, op4_packing, op5_language, op6_simhash, op8_secret_scan,
+        op9_permutation_index, op10_url_rules,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -49,4 +78,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                row_number() OVER (PARTITION BY h ORDER BY doc_id DESC) = 1 AS kept, h AS text_sha256
         FROM d""",
+    "op2_line_dedup": f"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS lines FROM documents),
+        l AS (SELECT site, trim(unnest(lines), ' ' || chr(9) || chr(13)) AS line FROM d),
+        b AS (SELECT line FROM l WHERE length(line) >= {line_dedup.MIN_CHARS} GROUP BY line
+              HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES}),
+        p AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+        k AS (SELECT p.doc_id, p.pos, p.line, b.line IS NOT NULL AS gone
+              FROM p LEFT JOIN b ON trim(p.line, ' ' || chr(9) || chr(13)) = b.line),
+        g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+                     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
+              FROM k GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
+    "op10_url_rules": """
+        WITH r(rule, host_rule, path_rule, verdict) AS (VALUES
+            ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+            ('net/de/', 'net', '/de/', 'block'), ('example.net/de/8', 'example.net', '/de/8', 'block'),
+            ('org/es/', 'org', '/es/', 'block')),
+        s AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+              FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+        m AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+              FROM p JOIN r ON (p.host = host_rule OR ends_with(p.host, '.' || host_rule)) AND starts_with(p.path, path_rule)
+              GROUP BY page_id)
+        SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
 }
