@@ -46,20 +46,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
     # its share of what those before it leave over
     ranked = ranked.withColumn("_key", F.col("_cap") / F.col("_w"))
     by_key = Window.orderBy("_key", "_rank")
-    total = ranked.agg(F.sum("source_size").cast("double").alias("_all"), F.sum("_w").alias("_ws"))
+    total = ranked.agg(F.sum("source_size").cast("double").alias("all"), F.sum("_w").alias("ws")).first()  # two numbers
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
     run = (
-        ranked.crossJoin(F.broadcast(total))  # one row
-        .withColumn("_cap_before", F.coalesce(F.sum("_cap").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_w_before", F.coalesce(F.sum("_w").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_rate", (F.col("_all") - F.col("_cap_before")) / (F.col("_ws") - F.col("_w_before")))
+        ranked.withColumn("_left", F.lit(total["all"] or 0.0) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
+        .withColumn("_w_left", F.lit(total["ws"] or 0.0) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
+        .withColumn("_rate", F.col("_left") / F.col("_w_left"))
         .withColumn("_capped", F.col("_key") <= F.col("_rate"))
-    )
-    rate = run.where(~F.col("_capped")).agg(F.min(F.struct("_key", "_rank", "_rate"))["_rate"].alias("_final"))
-    return (
-        run.crossJoin(F.broadcast(rate))  # one row
-        .withColumn("target", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_w") * F.col("_final")))
-        .select("source", "source_size", "n_docs", "target")
     )
+    run = cut(run, "mix-targets")
+    rate = run.where(~F.col("_capped")).agg(F.min(F.struct("_key", "_rank", "_rate"))["_rate"].alias("rate")).first()["rate"]
+    return run.withColumn(
+        "target", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_w") * F.lit(rate or 0.0))
+    ).select("source", "source_size", "n_docs", "target")
 
 
 def _global_rank(sources: DataFrame) -> DataFrame:
