@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, langid, line_dedup, mixing, packing, secret_scan, simhash, url_rules
+from . import ann, exact_dedup, langid, line_dedup, mixing, packing, repeats, secret_scan, simhash, url_rules
 from .common import UPPER, read
 
 
@@ -44,6 +44,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.cut_repeats(read(spark, sf_dir, "documents"), with_kept=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = secret_scan.find_secrets(docs, secret_scan.train(docs))
@@ -67,8 +72,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_line_dedup, op3_mixing, op4_packing, op5_language, op6_simhash, op8_secret_scan,
-        op9_permutation_index, op10_url_rules,
+        op1_exact_dedup, op2_line_dedup, op3_mixing, op4_packing, op5_language, op6_simhash, op7_repeated_bytes,
+        op8_secret_scan, op9_permutation_index, op10_url_rules,
     )
 }
 
