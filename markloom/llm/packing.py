@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import array
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +28,10 @@ from .common import cut
 CAPACITY = 2048
 EOT = 0
 #: Word cache of a Python worker: entries until it is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
+_SEPARATORS = re.compile(r"[\x1c-\x1f]").search
 _encoders: dict[str, object] = {}
 
 
@@ -42,30 +44,37 @@ class WordEncoder:
     that holds a special token's string, goes to the tokenizer whole.
     """
 
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The tokenizer's words, spelled out for characters below U+0300: letters together, digits one by one, the rest together.
+    PATTERN = (
+        r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\t-\r \x85\xa0]|_)+"
+    )
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = regex.compile(self.PATTERN).findall
-        self.beyond = regex.compile(r"[^\x00-˿]").search
-        encode = self.tokenizer.encode
+        self.words = re.compile(self.PATTERN).findall
+        self.beyond = re.compile(r"[^\x00-\x1b -\u02ff]").search
+        words = self.words
+        tokenize = self.tokenizer.model.tokenize
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = sorted(set(range(256)) - set(shown))
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}  # bytes as the vocabulary spells them
 
         class Cache(dict):
             def __missing__(self, word: str) -> bytes:
                 if len(self) >= CACHE_WORDS:
                     self.clear()
-                out = self[word] = array.array("I", encode(word, add_special_tokens=False).ids).tobytes()
+                ids = [t.id for w in words(word.lower()) for t in tokenize(w.encode().decode("latin-1").translate(letters))]
+                out = self[word] = array.array("I", ids).tobytes()
                 return out
 
         self.cache = Cache()
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or self.beyond(text):
+        if "<|" in text or (not text.isascii() and self.beyond(text)) or (text.isascii() and _SEPARATORS(text)):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.cache.__getitem__, self.words(text.lower())))
+        return b"".join(map(self.cache.__getitem__, text.split()))
 
 
 def encoder(path: str) -> WordEncoder:
