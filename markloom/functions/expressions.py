@@ -93,7 +93,7 @@ def _one_of(c: Column, names) -> Column:  # noqa: ANN001
 
 def shown(event: Column, policy: Policy) -> Column:
     """Not inside an element that takes its content with it, nor such an element itself."""
-    hidden = event["anc_mask"].bitwiseAND(F.lit(policy.drop_mask)) != 0
+    hidden = event["anc_mask"].bitwiseAND(F.lit(policy.drop_mask).cast("long")) != 0
     return ~hidden
 
 
@@ -122,17 +122,13 @@ def rendered(event: Column, policy: Policy) -> Column:
 
 def sanitized_html(events: Column, policy: Policy) -> Column:
     """An array of events as sanitized HTML; no Python, so a new policy parses nothing anew."""
-    # void elements show no children
-    seen = F.filter(events, lambda e: shown(e, policy) & ~(_one_of(e["parent_name"], policy.kept_tags() & NO_END_TAG)))
+    seen = F.filter(events, lambda e: shown(e, policy))
     return F.array_join(F.transform(seen, lambda e: rendered(e, policy)), "")
 
 
 def removals(events: Column, policy: Policy) -> Column:
     """Array of (kind, name, reason) of what a policy takes out, in document order."""
-    drops, kept = policy.drop_mask, sorted(policy.kept_tags())
-    from .policy import MASKED
-
-    dropped = [n for k, n in enumerate(MASKED) if drops >> k & 1]
+    kept, dropped = sorted(policy.kept_tags()), sorted(policy.drops())
     amap = allowed_map(policy)
 
     def of(e: Column) -> Column:
@@ -155,7 +151,7 @@ def visible_text(events: Column) -> Column:
     from .policy import mask_of
 
     raw = mask_of(RAW_TEXT)
-    seen = F.filter(events, lambda e: (e["kind"] == "text") & (e["anc_mask"].bitwiseAND(F.lit(raw)) == 0))
+    seen = F.filter(events, lambda e: (e["kind"] == "text") & (e["anc_mask"].bitwiseAND(F.lit(raw).cast("long")) == 0))
     return F.array_join(F.transform(seen, lambda e: e["value"]), "")
 
 
@@ -181,7 +177,9 @@ def serialized_html(events: Column, node_id: Column | None = None) -> Column:
             .otherwise("")
         )
 
-    seen = F.filter(events, lambda e: ~_one_of(e["parent_name"], NO_END_TAG))
+    from .policy import mask_of
+
+    seen = F.filter(events, lambda e: e["anc_mask"].bitwiseAND(F.lit(mask_of(NO_END_TAG)).cast("long")) == 0)
     return F.array_join(F.transform(seen, one), "")
 
 

@@ -20,7 +20,7 @@ NO_END_TAG = _set(
 )
 RAW_TEXT = _set("xmp style script plaintext noscript noframes noembed iframe")
 #: Names an ancestor mask can hold, by bit.
-MASKED = sorted(CONTENT_DROP | RAW_TEXT)
+MASKED = [*sorted(CONTENT_DROP | RAW_TEXT), *sorted(NO_END_TAG)]
 BIT = {name: 1 << k for k, name in enumerate(MASKED)}
 
 
@@ -36,8 +36,12 @@ class Policy:
 
     @property
     def drop_mask(self) -> int:
-        """Ancestors under which nothing is shown."""
-        return mask_of((CONTENT_DROP - self.tags) | (frozenset() if self.allow_unsafe else BASELINE_DROP))
+        """Ancestors under which nothing is shown; elements without end tag hold children in foreign content only."""
+        return mask_of(self.drops() | (self.kept_tags() & NO_END_TAG))
+
+    def drops(self) -> frozenset[str]:
+        """Elements that go with all they hold."""
+        return (CONTENT_DROP - self.tags) | (frozenset() if self.allow_unsafe else BASELINE_DROP)
 
     def kept_tags(self) -> frozenset[str]:
         return self.tags if self.allow_unsafe else self.tags - BASELINE_DROP

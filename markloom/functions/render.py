@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from .facts import URL_ATTRIBUTES, declarations, url_facts
-from .policy import BASELINE_DROP, BIT, CONTENT_DROP, NO_END_TAG, RAW_TEXT, Policy, attribute_verdict
+from .policy import BIT, NO_END_TAG, RAW_TEXT, Policy, attribute_verdict
 from .tree import ELEMENT, REMARK, TEXT, TYPE, Node
 
 
@@ -31,7 +31,7 @@ def sanitized(root: Node, policy: Policy, removed: list | None = None) -> list[s
     """Fragments of the sanitized document; ``removed`` collects (kind, name, reason) in order."""
     out: list[str] = []
     kept, cache = policy.kept_tags(), {}
-    drops = (CONTENT_DROP - policy.tags) | (frozenset() if policy.allow_unsafe else BASELINE_DROP)
+    drops = policy.drops()
     work: list = [(iter(root.children), False, "")]
     while work:
         children, raw, after = work[-1]
