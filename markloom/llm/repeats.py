@@ -22,6 +22,7 @@ batch one record.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -155,13 +156,32 @@ def _pack(kind: int, ranges: int, h: np.ndarray, *more: np.ndarray) -> list[dict
     columns = [np.ascontiguousarray(c[order].astype(t)) for c, (_, t) in zip((h, *more), _FIELDS, strict=True)]
     edges = np.concatenate([[0], cuts, [len(order)]])
     return [
-        {"part": int(part[order[a]]), "kind": kind} | {f: c[a:b].tobytes() for (f, _), c in zip(_FIELDS, columns, strict=True)}
+        {"part": int(part[order[a]]), "kind": kind}
+        | {f: _planes(c[a:b]) if f in _STEPS else c[a:b].tobytes() for (f, _), c in zip(_FIELDS, columns, strict=True)}
         for a, b in zip(edges[:-1], edges[1:], strict=True)
     ]
 
 
+#: Columns that mostly rise in small steps: kept as differences, byte by byte, which exchanges compress.
+_STEPS = {"doc", "start"}
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(b: bytes, kind: type) -> np.ndarray:
+    wide = np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(wide.T).view(kind).ravel(), dtype=kind)
+
+
 def _unpack(rows: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(rows[f]), t) for f, t in _FIELDS]
+    def column(f: str, kind: type) -> np.ndarray:
+        if f in _STEPS and len(rows):
+            return np.concatenate([_from_planes(b, kind) for b in rows[f]])
+        return np.frombuffer(b"".join(rows[f]), kind)
+
+    return [column(f, kind) for f, kind in _FIELDS]
 
 
 def _covers(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
@@ -299,7 +319,8 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
 
 
 def _release(df: DataFrame) -> None:
-    """Let the JVM notice that earlier exchanges are done with, so that their files go."""
+    """Let Python and the JVM notice that earlier exchanges are done with, so that their files go."""
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
