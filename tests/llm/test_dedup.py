@@ -195,3 +195,24 @@ def test_empty_tables(spark):
     assert line_dedup.drop_lines(empty).count() == 0
     assert simhash.near_groups(empty).count() == 0
     assert repeats.cut_repeats(empty).count() == 0
+
+
+def test_suffix_array_and_repeats(spark, monkeypatch):
+    from markloom.llm import suffix_array
+
+    monkeypatch.setattr(suffix_array, "SMALL", 60)
+    rng = random.Random(3)
+    texts = {i: "".join(rng.choice("ab") for _ in range(rng.randint(0, 70))) for i in range(8)} | {20: "ab" * 60, 21: "é" * 9, 22: "ab" * 60}
+    docs = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    got = [(r["doc"], r["start"]) for r in suffix_array.suffix_array(docs).orderBy("rank").collect()]
+    order = sorted(texts)
+    expect = sorted(((texts[d].encode()[s:], order.index(d)), (d, s)) for d in texts for s in range(len(texts[d].encode())))
+    assert got == [x for _, x in expect]
+    seen, repeated = set(), set()
+    for d in order:
+        body = texts[d].encode()
+        for s in range(len(body) - 19):
+            if body[s : s + 20] in seen:
+                repeated.add((d, s))
+            seen.add(body[s : s + 20])
+    assert {tuple(r) for r in suffix_array.repeated_starts(docs, 20).collect()} == repeated
