@@ -41,6 +41,9 @@ _TAG_NAME = re.compile(f"[^{SPACE}/>]*")
 _ATTR_NAME = re.compile(f"[^{SPACE}/>=]*")
 _BARE = re.compile(f"[^{SPACE}>]*")
 _MARKED = re.compile("[&<>]")
+# tags as most are written
+_PLAIN = re.compile('''([a-z][a-z0-9]*)((?: [a-z][a-z0-9-]*="[^"]*")*)>''')
+_PAIR = re.compile(''' ([a-z][a-z0-9-]*)="([^"]*)"''')
 
 
 def _starts_name(s: str) -> bool:
@@ -298,6 +301,9 @@ class Lenient:
     def _tag(s: str, at: int) -> tuple[str, list[tuple[str, str]], bool, int]:
         """(name, attributes, self-closing, where the tag ends or -1)."""
         size = len(s)
+        m = _PLAIN.match(s, at)
+        if m is not None:
+            return m[1], _PAIR.findall(m[2]) if m[2] else [], False, m.end()
         m = _TAG_NAME.match(s, at)
         name, j = m[0], m.end()
         attrs: list[tuple[str, str]] = []

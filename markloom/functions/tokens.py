@@ -23,6 +23,9 @@ _ATTR = re.compile(
     r"""([^\t\n\f />][^\t\n\f /=>]*)"""
     r"""(?:[\t\n\f ]*=[\t\n\f ]*(?:"([^"]*)("?)|'([^']*)('?)|(?=>)|([^\t\n\f >"'][^\t\n\f >]*)|(\Z)))?"""
 )
+# tags as most are written: lower case, values in double quotes without references
+_PLAIN = re.compile(r'''<(/?)([a-z][a-z0-9]*)((?: [a-z][a-z0-9-]*="[^"&\0]*")*)>''')
+_PAIR = re.compile(r''' ([a-z][a-z0-9-]*)="([^"]*)"''')
 _COMMENT_END = re.compile(r"--!?>")
 _SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\t\n\f />])", re.I | re.A)
 _NEWLINE = re.compile(r"\r\n?")
@@ -81,6 +84,21 @@ class Tokenizer:
             return None
         if less > at:
             parts.append(decode_text(text[at:less]))
+        m = _PLAIN.match(text, less)
+        if m is not None:
+            shut, name, rest = m.groups()
+            attrs = []
+            if rest:
+                seen = set()
+                for pair in _PAIR.findall(rest):
+                    if pair[0] not in seen:
+                        seen.add(pair[0])
+                        attrs.append(list(pair))
+            self.at = m.end()
+            if shut:
+                return (SHUT, name, attrs, False)
+            self.last_open = name
+            return (OPEN, name, attrs, False)
         c = text[less + 1 : less + 2]
         if c.isascii() and c.isalpha():
             return self._tag(less + 1, OPEN)

@@ -93,3 +93,40 @@ def test_columns_and_events(spark):
     rows = df.select(lenient_events(F.col("html")).alias("e")).first()["e"]
     assert [(e["kind"], e["name"]) for e in rows][:3] == [("open", "b"), ("text", None), ("close", "b")]
     assert rows[-1]["is_implied"] is True
+
+
+MATRIX = [
+    {}, {"allowed_tags": []}, {"allowed_tags": False, "allowed_attributes": False, "allow_vulnerable_tags": True}, {"disallowed_tags_mode": "escape"},
+    {"disallowed_tags_mode": "recursiveEscape"}, {"disallowed_tags_mode": "completelyDiscard"}, {"enforce_html_boundary": True}, {"nesting_limit": 2},
+    {"allowed_attributes": {"*": ["id", "data-*"], "a": ["href"]}}, {"self_closing": []}, {"parser": {"decodeEntities": False}},
+    {"parser": {"lowerCaseTags": False}}, {"allowed_classes": {"*": ["a*"]}}, {"allowed_attributes": {"*": ["style"]}},
+    {"allowed_attributes": {"p": [{"name": "id", "multiple": True, "values": ["x", "y"]}]}}, {"allowed_schemes": ["https"]},
+    {"allowed_schemes_by_tag": {"img": ["data"]}}, {"non_text_tags": ["style", "p"]}, {"preserve_escaped_attributes": True, "disallowed_tags_mode": "escape"},
+    {"transform_tags": {"*": lambda n, a: {"tag_name": "p" if n == "x" else n, "attribs": a}}}, {"text_filter": lambda t, tag: t.upper()},
+    {"exclusive_filter": lambda f: f.tag == "b"}, {"allowed_empty_attributes": [], "non_boolean_attributes": ["*"]},
+    {"allow_protocol_relative": False}, {"parse_style_attributes": False},
+]
+
+
+def test_option_matrix_on_random_markup():
+    import random
+    import warnings
+
+    rng = random.Random(12)
+    bits = (
+        "<p id='x z'>|</p>|<b>|</b>|<x>|</x>|<a href=javascript:1>|<a href=//h>|</a>|<script>a<b</script>|<img src=data:x alt>|<p style='a:b;c'>|<p class='ab b'>"
+        "|<html>|</html>|&amp;|&|<|>|</|<!--c-->|<!-|<![CDATA[x]]>|<textarea>&lt;</textarea>|<br/>|<svg><g/></svg>|<title>t|</title>|text| |<!doctype x>"
+    ).split("|")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        made = [options(**m) for m in MATRIX]
+        from markloom.functions.dialect import Compiled
+
+        for given, o in zip(MATRIX, made, strict=True):
+            c = Compiled(o)
+            for _ in range(120):
+                html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+                out = c.clean(html)
+                assert isinstance(out, str) and c.clean(html) == out
+                if given.get("allowed_tags") is not False:
+                    assert "<script" not in out and "href=\"javascript" not in out.replace("&lt;", "")
