@@ -7,7 +7,6 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from markloom.llm import exact_dedup, langid, mixing, packing, simhash
 from markloom.llm.common import cut
@@ -17,8 +16,7 @@ from markloom.llm.queries import vocabulary_path
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language (null text, or no letter)."""
     model = langid.train(docs)
-    found = langid.predict(docs, model).where(F.col("lang_pred") != langid.UND)
-    return found.select(*docs.columns)
+    return docs.where(langid.language(docs, model)["lang_pred"] != langid.UND)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
@@ -184,10 +184,19 @@ def train(docs: DataFrame, usable=None, id_col: str = "doc_id", text: str = "tex
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and lang_ambiguous, predicted from the whole text alone.
 
-    Null text, text without a letter, or no model: ``und`` with score 0 and not
-    ambiguous. Columns of these names are replaced; the others pass unchanged.
+    Columns of these names are replaced; the others pass unchanged.
     """
+    names = {"lang_pred", "score", "lang_ambiguous"}
+    keep = [c for c in docs.columns if c not in names]
+    return docs.withColumn("_g", language(docs, model, text)).select(*keep, "_g.lang_pred", "_g.score", "_g.lang_ambiguous")
+
+
+def language(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
+    """struct(lang_pred, score, lang_ambiguous) of a text column of ``docs``.
 
+    Null text, text without a letter, or no model: ``und`` with score 0 and not
+    ambiguous.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: DIM x bits
 
     @F.pandas_udf(StructType.fromDDL("lang_pred string, score double, lang_ambiguous boolean"))
@@ -206,9 +215,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                         pred[i], score[i], vague[i] = m.langs[k], min(1.0, max(0.0, float(s))), bool(g < AMBIGUOUS)
             yield pd.DataFrame({"lang_pred": pred, "score": score, "lang_ambiguous": vague})
 
-    names = {"lang_pred", "score", "lang_ambiguous"}
-    keep = [c for c in docs.columns if c not in names]
-    return docs.withColumn("_g", guess(F.col(text))).select(*keep, "_g.lang_pred", "_g.score", "_g.lang_ambiguous")
+    return guess(F.col(text))
 
 
 def fold(id_col: str = "doc_id"):  # noqa: ANN201

@@ -149,8 +149,8 @@ def mix(
 def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it was taken, columns unchanged."""
     taken = mix(docs, id_col, text, source).where("copies > 0").select(F.col(id_col).alias("_id"), "copies")
-    per_id = taken.groupBy("_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    per_id = taken.groupBy("_id").agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
     # repeated ids share their copies evenly; distinct ids, the usual case, take exactly theirs
     joined = docs.join(per_id, docs[id_col].eqNullSafe(per_id["_id"]))
-    n = F.greatest(F.lit(1), F.floor(F.col("copies") / F.col("rows"))).cast("int")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    n = F.greatest(F.lit(1), F.floor(F.col("_mix_copies") / F.col("_mix_rows"))).cast("int")
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
