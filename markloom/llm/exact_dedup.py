@@ -80,7 +80,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         .agg(F.max(F.struct("id", "_rid")).alias("keeper"))
         .select("key", "sha", "keeper")
     )
-    index = chains.join(keepers, ["key", "sha"])
+    # the index: entries of a bucket lie together, ordered by key, written by the bucket's owner
+    entries = chains.join(keepers, ["key", "sha"]).repartition("bucket").sortWithinPartitions("bucket", "key")
+    index = cut(entries, "dedup-index").drop("bucket")
     return facts.join(index, ["key", "sha"]).select(
         F.col("id").alias(id_col),
         F.col("keeper.id").alias("keep_id"),
