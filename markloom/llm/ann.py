@@ -1,20 +1,21 @@
 """Nearest neighbours by largest inner product through a permutation index.
 
 Vectors are lifted by one coordinate to equal length, which makes the largest
-inner product the nearest point. Each is then represented by its nearest pivots
-in order and posted in the inverted files of the first of them. A query visits
-the files of its own nearest pivots; there the postings are ranked by footrule
-distance between the two orders, the best are scored exactly, and the results
-of the files are merged.
-
-Every row is indexed; only the pivots are a sample, of about the square root of
-the rows and at most ``MAX_PIVOTS``. Files are cut into blocks of bounded size,
-so a crowded pivot is spread over tasks.
+inner product the nearest point. Each is represented by its nearest pivots in
+order and posted, with its place in that order, in the inverted files of those
+pivots. A query reads the files of its own nearest pivots and sums up the
+footrule distance to every vector posted there; the best of them are scored
+exactly.
+
+Every row is indexed; only the pivots are a sample, at most ``PIVOTS``. The
+index is cut into blocks of rows, each with its own inverted files, and the
+queries into chunks; each chunk meets each block in one task and leaves k rows a
+query, which are merged. A block's size is fixed, so no file grows with the
+table and equal vectors spread over blocks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,14 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
-
-MAX_PIVOTS = 2048
-#: Pivots in a vector's order; files it is posted in; files a query visits.
-ORDER, POSTED, VISITED = 16, 4, 16
-#: Of a block's postings, so large a share, and at least so many, are scored exactly.
-SCORED_SHARE, SCORED_LEAST = 0.25, 200
-BLOCK_ROWS = 20_000
+PIVOTS = 256
+#: Pivots in an order: those a vector is posted under, and those a query visits.
+ORDER = 64
+#: Of a block's rows, so large a share, and at least so many, are scored exactly.
+SCORED_SHARE, SCORED_LEAST = 0.1, 200
+BLOCK_ROWS, QUERY_ROWS = 8192, 32_768
 
 
 def usable(vector: Column) -> Column:
@@ -44,7 +43,6 @@ def usable(vector: Column) -> Column:
 class Pivots:
     points: np.ndarray  # lifted to one dimension more
     longest: float  # squared length of the longest vector
-    blocks: np.ndarray | None = None  # blocks of each pivot's file
 
     def orders(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Indices of the nearest pivots, nearest first, for each row."""
@@ -57,71 +55,79 @@ class Pivots:
         return part[rows, np.argsort(far[rows, part], axis=1, kind="stable")].astype(np.int16)
 
 
-def _pivots(valid: DataFrame) -> Pivots | None:
-    stats = valid.agg(F.count(F.lit(1)).alias("n"), F.max("len2").alias("longest")).first()
-    if not stats["n"]:
-        return None
-    want = int(min(MAX_PIVOTS, max(16, math.ceil(math.sqrt(stats["n"])))))
-    rows = valid.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(want).select("v").collect()  # at most MAX_PIVOTS
+def _pivots(valid: DataFrame, longest: float) -> Pivots:
+    rows = valid.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(PIVOTS).select("v").collect()  # the documented sample
     x = np.unique(np.array([r["v"] for r in rows], np.float64), axis=0)
-    lift = np.sqrt(np.maximum(0.0, stats["longest"] - (x * x).sum(axis=1)))
-    return Pivots(np.hstack([x, lift[:, None]]), stats["longest"])
+    lift = np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))
+    return Pivots(np.hstack([x, lift[:, None]]), longest)
 
 
-def _route(valid: DataFrame, pivots: Pivots, query_mod: int) -> DataFrame:
-    """(cell, block, role, vec_id, v, seq): role 0 posts a vector, role 1 asks for its neighbours."""
-    shared = valid.sparkSession.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS points
+def _route(valid: DataFrame, pivots: Pivots, query_mod: int, blocks: int, chunks: int) -> DataFrame:
+    """(block, chunk, role, vec_id, v, seq): role 0 is a row of the index, role 1 a query."""
+    shared = valid.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS points
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         for batch in batches:
             x, ids = np.stack(batch["v"].to_numpy()).astype(np.float64), batch["vec_id"].to_numpy()
-            out = []
-            for role, visit in ((0, POSTED), (1, VISITED)):
-                at = np.arange(len(ids)) if role == 0 else np.flatnonzero(ids % query_mod == 0)
-                if not at.size:
-                    continue
-                orders = p.orders(x[at], role == 1)
-                for rank in range(min(visit, orders.shape[1])):
-                    cell = orders[:, rank].astype(np.int64)
-                    if role == 0:
-                        block = (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % (1 if p.blocks is None else p.blocks[cell])
-                        pick, blocks = np.arange(len(at)), block
-                    else:  # a query goes to all blocks of the file
-                        n = np.ones(len(at), np.int64) if p.blocks is None else p.blocks[cell]
-                        pick = np.repeat(np.arange(len(at)), n)
-                        blocks = np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n)
-                    out.append(pd.DataFrame({
-                        "cell": cell[pick], "block": blocks, "role": role, "vec_id": ids[at][pick],
-                        "v": [x[k].tobytes() for k in at[pick]], "seq": [orders[k].tobytes() for k in pick],
-                    }))
-            if out:
-                yield pd.concat(out)
-
-    return valid.select("vec_id", "v").mapInPandas(run, "cell long, block long, role int, vec_id long, v binary, seq binary")
+            mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            own_block, own_chunk = (mixed % np.uint64(blocks)).astype(np.int64), (mixed // np.uint64(blocks) % np.uint64(chunks)).astype(np.int64)
+            if len(batch):
+                at = np.arange(len(ids))
+                for role, rows, copies in ((0, at, chunks), (1, at[ids % query_mod == 0], blocks)):
+                    if not len(rows):
+                        continue
+                    orders = p.orders(x[rows], role == 1)
+                    pick, other = np.repeat(np.arange(len(rows)), copies), np.tile(np.arange(copies), len(rows))
+                    mine = (own_block if role == 0 else own_chunk)[rows][pick]
+                    yield pd.DataFrame({
+                        "block": mine if role == 0 else other, "chunk": other if role == 0 else mine, "role": role, "vec_id": ids[rows][pick],
+                        "v": [x[k].tobytes() for k in rows[pick]], "seq": [orders[k].tobytes() for k in pick],
+                    })
+
+    return valid.select("vec_id", "v").mapInPandas(run, "block long, chunk long, role int, vec_id long, v binary, seq binary")
+
+
+class Files:
+    """Inverted files of one block: for each pivot the rows posted there and their places."""
+
+    def __init__(self, seq: np.ndarray, n_pivots: int):
+        self.rows, self.width = seq.shape
+        order = np.argsort(seq.ravel(), kind="stable")
+        self.row, self.place = (order // self.width).astype(np.int32), (order % self.width).astype(np.int32)
+        self.edges = np.searchsorted(seq.ravel()[order], np.arange(n_pivots + 1))
+
+    def footrule(self, order: np.ndarray) -> np.ndarray:
+        """Distance of every row to a query's order; a pivot missing from either stands behind its last."""
+        total = np.full(self.rows, 2 * int((self.width - np.arange(self.width)).sum()), np.int32)
+        for place, pivot in enumerate(order):
+            a, b = self.edges[pivot], self.edges[pivot + 1]
+            total[self.row[a:b]] += np.abs(self.place[a:b] - place) - (self.width - place) - (self.width - self.place[a:b])
+        return total
 
 
 def _search(k: int, n_pivots: int):  # noqa: ANN202
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        posts, asks = group[group["role"] == 0], group[group["role"] == 1]
+        posts, asks = group[group["role"] == 0].sort_values("vec_id"), group[group["role"] == 1]
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if posts.empty or asks.empty:
             return none
-        x, seq, ids = _rows(posts["v"], np.float64), _rows(posts["seq"], np.int16).astype(np.int64), posts["vec_id"].to_numpy()
-        q, q_seq, q_ids = _rows(asks["v"], np.float64), _rows(asks["seq"], np.int16).astype(np.int64), asks["vec_id"].to_numpy()
-        width = seq.shape[1]
+        x, seq, ids = _rows(posts["v"], np.float64), _rows(posts["seq"], np.int16), posts["vec_id"].to_numpy()
+        q, q_seq, q_ids = _rows(asks["v"], np.float64), _rows(asks["seq"], np.int16), asks["vec_id"].to_numpy()
+        files = Files(seq, n_pivots)
         scored = min(len(ids), max(SCORED_LEAST, k + 1, int(len(ids) * SCORED_SHARE)))
-        out, places = [], np.arange(width)
+        out = []
         for row, order, own in zip(q, q_seq, q_ids, strict=True):
-            place = np.full(n_pivots, width)
-            place[order] = places
-            foot = np.abs(place[seq] - places).sum(axis=1)
-            best = np.argpartition(foot, scored - 1)[:scored] if scored < len(ids) else np.arange(len(ids))
+            foot = files.footrule(order)
+            limit = np.partition(foot, scored - 1)[scored - 1]
+            nearer, even = np.flatnonzero(foot < limit), np.flatnonzero(foot == limit)
+            best = np.concatenate([nearer, even[: scored - len(nearer)]])  # of even ones the smaller ids
             best = best[ids[best] != own]
             score = exact_scores(x[best], row)
             top = np.lexsort((ids[best], -score))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best][top], "score": score[top]}))
-        return pd.concat(out)
+            out.append((np.full(len(top), own), ids[best][top], score[top]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -137,7 +143,7 @@ def _rows(column: pd.Series, kind: type) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, k: int = 20, query_mod: int = 20, id_col: str = "vec_id", vector: str = "embedding",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``query_mod``.
 
@@ -153,16 +159,15 @@ def nearest(
         base = base.where(F.size("v") == dim["d"])
     len2 = F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)
     valid = base.withColumn("len2", len2)
-    pivots = _pivots(valid)
-    if pivots is None:
+    asked = (F.col("vec_id") % query_mod == 0).cast("long")
+    stats = valid.agg(F.count(F.lit(1)).alias("n"), F.max("len2").alias("longest"), F.sum(asked).alias("queries")).first()
+    if not stats["queries"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    routed = cut(_route(valid, pivots, query_mod), "ann-routed")
-    sizes = {r["cell"]: r["n"] for r in routed.where("role = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a pivot
-    if max(sizes.values()) > block_rows:
-        pivots.blocks = np.array([max(1, -(-sizes.get(c, 0) // block_rows)) for c in range(len(pivots.points))])
-        routed = _route(valid, pivots, query_mod)
-    found = routed.groupBy("cell", "block").applyInPandas(_search(k, len(pivots.points)), "query_id long, vec_id long, score double")
-    # the k best of each query: at most VISITED x blocks x k rows meet
+    blocks, chunks = -(-stats["n"] // block_rows), -(-stats["queries"] // query_rows)
+    pivots = _pivots(valid, stats["longest"])
+    routed = _route(valid, pivots, query_mod, blocks, chunks)
+    found = routed.groupBy("block", "chunk").applyInPandas(_search(k, len(pivots.points)), "query_id long, vec_id long, score double")
+    # the k best of each query: at most blocks x k rows meet
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     top = best.groupBy("query_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("top")

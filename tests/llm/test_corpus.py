@@ -180,13 +180,13 @@ def test_viterbi_is_the_best_path():
     assert score(field.viterbi(rows)) == pytest.approx(max(score(p) for p in itertools.product(range(3), repeat=6)))
 
 
-@pytest.mark.parametrize("block_rows", [20_000, 25])
-def test_nearest_recall_and_order(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "query_rows"), [(8192, 32_768), (150, 7)])
+def test_nearest_recall_and_order(spark, block_rows, query_rows):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)) + 2 * rng.integers(0, 3, size=(600, 1))
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] + [1.0] * 15), (1060, [float("inf")] + [1.0] * 15), (1080, [None] + [1.0] * 15), (1100, [1.0] * 3), (1120, [])]
-    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=block_rows).collect()
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=block_rows, query_rows=query_rows).collect()
     got = {}
     for r in sorted(out, key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append(r)
@@ -259,3 +259,18 @@ def test_pipeline_stages(spark):
     texts = {r["doc_id"]: (r["text"] or "").lower() for r in docs.collect()}
     assert counts[0] == docs.count() and counts[1] == len(set(texts.values())) and counts[2] <= counts[1]
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() >= counts[3]
+
+
+def test_footrule_of_inverted_files():
+    rng = np.random.default_rng(2)
+    seq = np.array([rng.permutation(12)[:5] for _ in range(40)], np.int16)
+    files = ann.Files(seq, 12)
+    order = rng.permutation(12)[:5]
+
+    def places(row):
+        out = np.full(12, 5)
+        out[row] = np.arange(5)
+        return out
+
+    expect = [int(np.abs(places(r) - places(order)).sum()) for r in seq]
+    assert files.footrule(order).tolist() == expect
