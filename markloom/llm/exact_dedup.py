@@ -41,7 +41,7 @@ def build_directory(facts: DataFrame, capacity_bytes: int = 4 << 20, max_depth:
         .where((F.col("held") <= capacity_bytes) | (F.col("depth") == max_depth))
     )
     return (
-        ladder.join(fits, ["depth", "first"])
+        ladder.join(F.broadcast(fits), ["depth", "first"])  # at most 2**(max_depth + 1) buckets
         .groupBy("slot")
         .agg(F.min(F.struct("depth", "first")).alias("leaf"))
         .select("slot", F.col("leaf.first").alias("bucket"), F.col("leaf.depth").alias("depth"))

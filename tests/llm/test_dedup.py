@@ -200,9 +200,9 @@ def test_empty_tables(spark):
 def test_suffix_array_and_repeats(spark, monkeypatch):
     from markloom.llm import suffix_array
 
-    monkeypatch.setattr(suffix_array, "SMALL", 60)
+    monkeypatch.setattr(suffix_array, "SMALL", 50)
     rng = random.Random(3)
-    texts = {i: "".join(rng.choice("ab") for _ in range(rng.randint(0, 70))) for i in range(8)} | {20: "ab" * 60, 21: "é" * 9, 22: "ab" * 60}
+    texts = {i: "".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for i in range(4)} | {20: "ab" * 20, 21: "é" * 4, 22: "ab" * 20}
     docs = spark.createDataFrame(list(texts.items()), "doc long, text string")
     got = [(r["doc"], r["start"]) for r in suffix_array.suffix_array(docs).orderBy("rank").collect()]
     order = sorted(texts)
@@ -211,8 +211,8 @@ def test_suffix_array_and_repeats(spark, monkeypatch):
     seen, repeated = set(), set()
     for d in order:
         body = texts[d].encode()
-        for s in range(len(body) - 19):
-            if body[s : s + 20] in seen:
+        for s in range(len(body) - 9):
+            if body[s : s + 10] in seen:
                 repeated.add((d, s))
-            seen.add(body[s : s + 20])
-    assert {tuple(r) for r in suffix_array.repeated_starts(docs, 20).collect()} == repeated
+            seen.add(body[s : s + 10])
+    assert {tuple(r) for r in suffix_array.repeated_starts(docs, 10).collect()} == repeated
