@@ -186,3 +186,17 @@ def test_policy_relations(spark):
     df = with_events(spark.createDataFrame([(1, "<a href=x id=1 class=c>y</a><p id=2 href=3>")], "id int, html string"))
     kept = S.kept_attributes(df, table, "ugc", "id").select("tag", "name").collect()
     assert sorted(map(tuple, kept)) == [("a", "class"), ("a", "href"), ("a", "id"), ("p", "id")]
+
+
+def test_sql_functions_and_public_names(spark):
+    import markloom
+
+    assert all(getattr(markloom, n) is not None for n in markloom.__all__)
+    markloom.register(spark)
+    row = spark.sql(
+        "SELECT html_text('<p>a<script>b'), html_sanitize_basic('<p onclick=x>a</p><i>b'), html_serialize('x'), html_lenient('<x>y'), "
+        "size(html_events('<p>')), html_text(CAST(null AS string))"
+    ).first()
+    assert row[:] == ("a", "<p>a</p><i>b</i>", "<html><head></head><body>x</body></html>", "y", 8, None)
+    joined = spark.sql("SELECT t.name FROM (SELECT '<ul><li>x' AS h) d, LATERAL html_nodes(d.h) t WHERE t.kind = 'open' ORDER BY t.seq").collect()
+    assert [r[0] for r in joined] == ["html", "head", "body", "ul", "li"]
