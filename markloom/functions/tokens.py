@@ -50,6 +50,15 @@ class Tokenizer:
             return token
         if self.done:
             return None
+        if self.model == DATA:  # the usual case: a run of text, then a plainly written tag
+            text, at = self.text, self.at
+            less = text.find("<", at)
+            if less >= 0 and (m := _PLAIN.match(text, less)) is not None:
+                token = self._plain(m)
+                if less == at:
+                    return token
+                self.waiting = token
+                return (CHARS, decode_text(text[at:less]))
         parts: list[str] = []
         token = None
         while token is None:
@@ -86,19 +95,7 @@ class Tokenizer:
             parts.append(decode_text(text[at:less]))
         m = _PLAIN.match(text, less)
         if m is not None:
-            shut, name, rest = m.groups()
-            attrs = []
-            if rest:
-                seen = set()
-                for pair in _PAIR.findall(rest):
-                    if pair[0] not in seen:
-                        seen.add(pair[0])
-                        attrs.append(list(pair))
-            self.at = m.end()
-            if shut:
-                return (SHUT, name, attrs, False)
-            self.last_open = name
-            return (OPEN, name, attrs, False)
+            return self._plain(m)
         c = text[less + 1 : less + 2]
         if c.isascii() and c.isalpha():
             return self._tag(less + 1, OPEN)
@@ -122,6 +119,21 @@ class Tokenizer:
         self.at = less + 1
         return None
 
+    def _plain(self, m: re.Match) -> tuple:
+        shut, name, rest = m.groups()
+        self.at = m.end()
+        attrs = []
+        if rest:
+            seen = set()
+            for pair in _PAIR.findall(rest):
+                if pair[0] not in seen:
+                    seen.add(pair[0])
+                    attrs.append(list(pair))
+        if shut:
+            return (SHUT, name, attrs, False)
+        self.last_open = name
+        return (OPEN, name, attrs, False)
+
     def _tag(self, at: int, kind: int) -> tuple | None:
         """A tag whose name begins at ``at``; input that ends inside a tag gives none."""
         text, size = self.text, self.size

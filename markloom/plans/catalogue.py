@@ -346,4 +346,4 @@ def stream_sanitize_none(spark, sf_dir):
 def stream_event_windows(spark, sf_dir):
     stream = streams.read_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
     made = streams.run_once(streams.sliding_counts(stream, "ts", "event_type", "1 hour"), shared_folder(spark), "complete")
-    return made.select(F.col("window.start").alias("start"), "event_type", "count")
+    return made.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "count")
