@@ -38,6 +38,8 @@ K = 32
 W = LENGTH - K + 1
 #: Bytes of text handled at once by the vector steps; longer texts go in pieces of MOST.
 STEP, MOST = 1 << 19, 1 << 21
+#: Characters of text whose records are made, and whose copies are combined, at a time.
+SLICE = 12 << 20
 #: Bytes of text to a hash range of records.
 RANGE_BYTES = 8 << 20
 
@@ -216,13 +218,21 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarr
         yield out()
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut to about SLICE bytes of text, to keep a worker's memory low."""
+    for batch in batches:
+        size = batch["text"].map(lambda t: len(t) if isinstance(t, str) else 0).cumsum().to_numpy() // SLICE
+        for part in np.unique(size):
+            yield batch[size == part]
+
+
 def _bodies(batch: pd.DataFrame) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"]]
 
 
 def _map_spans(ranges: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, found = batch["doc"].to_numpy(), []
             for which, offsets, data, starts in _groups(_bodies(batch)):
                 text, start, count, h, s = anchors(data, starts)
@@ -264,7 +274,7 @@ def _reduce_spans(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _map_windows(ranges: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = []
             for doc, body, first, last in zip(batch["doc"], _bodies(batch), batch["a"], batch["b"], strict=True):
                 first, last = np.asarray(first, np.int64), np.asarray(last, np.int64)
