@@ -90,21 +90,26 @@ def _route(valid: DataFrame, pivots: Pivots, query_mod: int, blocks: int, chunks
 
 
 class Files:
-    """Inverted files of one block: for each pivot the rows posted there and their places."""
+    """Inverted files of one block: for each pivot a number per row, its place in the row's order or, if it is not there, their number."""
 
     def __init__(self, seq: np.ndarray, n_pivots: int):
-        self.rows, self.width = seq.shape
-        order = np.argsort(seq.ravel(), kind="stable")
-        self.row, self.place = (order // self.width).astype(np.int32), (order % self.width).astype(np.int32)
-        self.edges = np.searchsorted(seq.ravel()[order], np.arange(n_pivots + 1))
+        rows, self.width = seq.shape
+        self.places = np.full((n_pivots, rows), self.width, np.uint16)
+        self.places[seq.ravel(), np.repeat(np.arange(rows), self.width)] = np.tile(np.arange(self.width, dtype=np.uint16), rows)
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
-        """Distance of every row to a query's order; a pivot missing from either stands behind its last."""
-        total = np.full(self.rows, 2 * int((self.width - np.arange(self.width)).sum()), np.int32)
+        """Distance of every row to a query's order; a pivot missing from either stands behind its last.
+
+        Beside a constant, a pivot at place j of the query and t of the row adds
+        |t - j| - (n - j) - (n - t) = 2 max(t, j) - 2 n, which is 0 where the row lacks it.
+        """
+        total = np.zeros(self.places.shape[1], np.uint16)
+        later = np.empty_like(total)
         for place, pivot in enumerate(order):
-            a, b = self.edges[pivot], self.edges[pivot + 1]
-            total[self.row[a:b]] += np.abs(self.place[a:b] - place) - (self.width - place) - (self.width - self.place[a:b])
-        return total
+            np.maximum(self.places[pivot], np.uint16(place), out=later)
+            total += later
+        n = self.width
+        return 2 * (total.astype(np.int32) - n * len(order)) + 2 * int((n - np.arange(n)).sum())
 
 
 def _search(k: int, n_pivots: int):  # noqa: ANN202
@@ -124,6 +129,9 @@ def _search(k: int, n_pivots: int):  # noqa: ANN202
             nearer, even = np.flatnonzero(foot < limit), np.flatnonzero(foot == limit)
             best = np.concatenate([nearer, even[: scored - len(nearer)]])  # of even ones the smaller ids
             best = best[ids[best] != own]
+            near = x[best] @ row
+            if len(best) > k:  # the product's last bits depend on its layout: keep all that may be among the k
+                best = best[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9 * max(1.0, np.abs(near).max())]
             score = exact_scores(x[best], row)
             top = np.lexsort((ids[best], -score))[:k]
             out.append((np.full(len(top), own), ids[best][top], score[top]))
