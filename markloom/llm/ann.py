@@ -55,8 +55,11 @@ class Pivots:
         return part[rows, np.argsort(far[rows, part], axis=1, kind="stable")].astype(np.int16)
 
 
-def _pivots(valid: DataFrame, longest: float) -> Pivots:
-    rows = valid.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(PIVOTS).select("v").collect()  # the documented sample
+def _pivots(valid: DataFrame, longest: float, n: int) -> Pivots:
+    h = F.xxhash64(F.lit(3), "vec_id")
+    # a threshold leaves about four times as many as wanted, so that tasks send few rows each
+    few = valid.where(F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53)) < min(1.0, 4 * PIVOTS / n))
+    rows = few.orderBy(h, "vec_id").limit(PIVOTS).select("v").collect()  # the documented sample
     x = np.unique(np.array([r["v"] for r in rows], np.float64), axis=0)
     lift = np.sqrt(np.maximum(0.0, longest - (x * x).sum(axis=1)))
     return Pivots(np.hstack([x, lift[:, None]]), longest)
@@ -172,7 +175,7 @@ def nearest(
     if not stats["queries"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks, chunks = -(-stats["n"] // block_rows), -(-stats["queries"] // query_rows)
-    pivots = _pivots(valid, stats["longest"])
+    pivots = _pivots(valid, stats["longest"], stats["n"])
     routed = _route(valid, pivots, query_mod, blocks, chunks)
     found = routed.groupBy("block", "chunk").applyInPandas(_search(k, len(pivots.points)), "query_id long, vec_id long, score double")
     # the k best of each query: at most blocks x k rows meet
