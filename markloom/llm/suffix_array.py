@@ -116,7 +116,8 @@ def _small(text: DataFrame) -> DataFrame:
             step *= 2
         return pd.DataFrame({"pos": rows["pos"].to_numpy(), "rank": r})
 
-    return cut(text.select("pos", "c").groupBy(F.lit(0)).applyInPandas(lambda rows: solve(rows), "pos long, rank long"), "suffix-small")
+    whole = text.select("pos", "c", F.lit(0).alias("one")).groupBy("one")  # at most SMALL rows
+    return cut(whole.applyInPandas(lambda rows: solve(rows), "pos long, rank long"), "suffix-small")
 
 
 def suffix_array(docs: DataFrame) -> DataFrame:
