@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -74,5 +74,26 @@ def tag_rows(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` stored in the order of ``keys``, with its partition and a number that grows with the order."""
+    placed = df.orderBy(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    return cut(placed, "ordered")
+
+
+def sums_before(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with sums of ``values`` over all rows that come before in the order of ``keys``.
+
+    Rows are sorted by ranges and summed up range by range, so no task sees more
+    than its range; keys should be unique.
+    """
+    rows = ordered(df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()]), keys)
+    parts = rows.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_sum_{n}") for n in values])
+    first = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = parts.select("_part", *[F.coalesce(F.sum(f"_sum_{n}").over(first), F.lit(0)).alias(f"_start_{n}") for n in values])
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [(F.col(f"_start_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))).alias(n) for n in values]
+    return rows.join(F.broadcast(starts), "_part").select(*df.columns, *sums)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

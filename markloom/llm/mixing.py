@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, tag_rows
+from .common import WORD_PATTERN, cut, sums_before, tag_rows
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -29,8 +29,18 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("long")
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """(source, source_size, n_docs) -> the same with ``target`` in words.
+def _before(df: DataFrame, keys: list[str], values: dict[str, Column], few: bool) -> DataFrame:
+    """``df`` with sums of ``values`` over the rows before in the order of ``keys``: a window over few rows, ranges beyond."""
+    if not few:
+        return sums_before(df, keys, values)
+    rows = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # at most BROADCAST_SOURCES rows
+    return df.select("*", *[F.coalesce(F.sum(v).over(rows), F.lit(0)).alias(n) for n, v in values.items()])
+
+
+def targets(
+    sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, few_sources: int = BROADCAST_SOURCES
+) -> DataFrame:
+    """(source, source_size, n_docs), a stored table -> the same with ``target`` in words.
 
     Sources in code-point order, null last, take the weights in turn and share
     the sum of all sizes; a target stops at ``max_copies`` times the source's
@@ -38,20 +48,17 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
     of the caps is that of size over weight, so one running sum settles it.
     """
     n = len(weights)
-    # one row per source: a ranking in two steps keeps the rows of a task few even for very many sources
-    ranked = _global_rank(sources)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("_rank") - 1) % n + 1).cast("int"))
+    few = sources.limit(few_sources + 1).count() <= few_sources
+    ranked = _before(sources.withColumn("_null", F.col("source").isNull()), ["_null", "source"], {"_rank": F.lit(1)}, few)
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_rank") % n + 1).cast("int"))
     ranked = ranked.withColumn("_w", w).withColumn("_cap", F.col("source_size") * F.lit(float(max_copies)))
     # capped are the sources with the least cap/weight: source i is capped iff its cap is at most
     # its share of what those before it leave over
     ranked = ranked.withColumn("_key", F.col("_cap") / F.col("_w"))
-    by_key = Window.orderBy("_key", "_rank")
     total = ranked.agg(F.sum("source_size").cast("double").alias("all"), F.sum("_w").alias("ws")).first()  # two numbers
-    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
     run = (
-        ranked.withColumn("_left", F.lit(total["all"] or 0.0) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_w_left", F.lit(total["ws"] or 0.0) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-        .withColumn("_rate", F.col("_left") / F.col("_w_left"))
+        _before(ranked, ["_key", "_rank"], {"_caps": F.col("_cap"), "_ws": F.col("_w")}, few)
+        .withColumn("_rate", (F.lit(total["all"] or 0.0) - F.col("_caps")) / (F.lit(total["ws"] or 0.0) - F.col("_ws")))
         .withColumn("_capped", F.col("_key") <= F.col("_rate"))
     )
     run = cut(run, "mix-targets")
@@ -61,29 +68,27 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
     ).select("source", "source_size", "n_docs", "target")
 
 
-def _global_rank(sources: DataFrame) -> DataFrame:
-    """Rank in code-point order, null last: one row per source, not per document."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    return sources.withColumn("_rank", F.row_number().over(order).cast("long"))
-
-
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20_24,
-    weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES,
+    weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, few_sources: int = BROADCAST_SOURCES, digest: Column | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: id, ``_rid``, size, source_size, target, copies, taken.
+    """Per row of ``docs``: id, ``_rid``, size, source_size, target, copies, taken, and ``_digest`` where one is given.
 
     ``taken`` = copies x size. Null text has size 0 and null is a source of its
     own, last in order. Documents of size 0, and all documents of sources
     without words, are taken 0 times. Repeated rows are sampled apart. Reruns
     agree, as chance comes from ids alone.
     """
-    keyed = tag_rows(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    more = [] if digest is None else ["_digest"]
+    base = docs.select(
+        F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *[digest.alias(c) for c in more]
+    )
+    keyed = tag_rows(base)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     facts = cut(keyed.withColumn("u", u), "mix-facts")
-    per_source = facts.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    per_source = cut(facts.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "mix-sources")
     plan = (
-        targets(per_source, weights, max_copies)
+        targets(per_source, weights, max_copies, few_sources)
         .withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("whole", F.least(F.floor("ratio"), F.lit(max_copies)).cast("int"))
         .withColumn("f", F.col("ratio") - F.col("whole"))
@@ -91,7 +96,7 @@ def mix(
         .withColumn("n_buckets", F.greatest(F.lit(1), F.ceil(F.sqrt("n_docs"))).cast("long"))
     )
     plan = cut(plan, "mix-plan")
-    few = plan.count() <= BROADCAST_SOURCES
+    few = plan.count() <= few_sources
     hint = F.broadcast if few else (lambda df: df)
 
     def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -142,15 +147,26 @@ def mix(
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("sampled") | (F.col("_rid") == F.coalesce(F.col("extra"), F.lit(-1))), 1).otherwise(0)).otherwise(0)
     return by_source(decided, closer, "left").select(
         F.col("id").alias(id_col), "_rid", "size", "source_size", F.col("target").cast("double").alias("target"),
-        copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
+        copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *more,
     )
 
 
 def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it was taken, columns unchanged."""
-    taken = mix(docs, id_col, text, source).where("copies > 0").select(F.col(id_col).alias("_id"), "copies")
-    per_id = taken.groupBy("_id").agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
-    # repeated ids share their copies evenly; distinct ids, the usual case, take exactly theirs
-    joined = docs.join(per_id, docs[id_col].eqNullSafe(per_id["_id"]))
-    n = F.greatest(F.lit(1), F.floor(F.col("_mix_copies") / F.col("_mix_rows"))).cast("int")
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it was taken, columns unchanged.
+
+    Rows that are alike in id, text and source share their copies; what does not
+    divide evenly goes to one of them.
+    """
+    digest = F.xxhash64(F.col(text), F.col(source))
+    mixed = mix(docs, id_col, text, source, digest=digest)
+    taken = mixed.groupBy(F.col(id_col).alias("_mix_id"), F.col("_digest").alias("_mix_digest")).agg(
+        F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows")
+    )
+    taken = cut(taken.where("_mix_copies > 0"), "mix-taken")
+    joined = docs.withColumn("_mix_own", digest).join(taken, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_digest")))
+    each, rest = F.expr("cast(_mix_copies div _mix_rows as int)"), F.expr("cast(_mix_copies % _mix_rows as int)")
+    out = joined.where(each > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    if not taken.where(rest > 0).limit(1).count():
+        return out
+    lead = joined.where(rest > 0).groupBy("_mix_id", "_mix_digest").agg(F.first(F.struct(*docs.columns)).alias("_mix_row"), F.first(rest).alias("_mix_rest"))
+    return out.unionByName(lead.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_rest")))).select("_mix_row.*"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ordered, sums_before
 
 #: Texts of names up to this long are solved in one task: a bound, not a share of the input.
 SMALL = 20_000
@@ -34,21 +34,9 @@ def letters(docs: DataFrame) -> DataFrame:
     return each.select((F.col("base") + F.col("start")).alias("pos"), c.cast("long").alias("c"), "doc", "start")
 
 
-def _ordered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` stored in the order of ``keys``, with its partition and a number that grows with the order."""
-    placed = df.orderBy(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    return cut(placed, "suffix-order")
-
-
 def _before(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """Sum of ``value`` over all rows that come before in the order of ``keys``; no task sees more than a range."""
-    rows = _ordered(df.withColumn("_v", value.cast("long")), keys)
-    parts = rows.groupBy("_part").agg(F.sum("_v").alias("_sum"))
-    first = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = parts.select("_part", F.coalesce(F.sum("_sum").over(first), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return summed.drop("_part", "_at", "_v", "_start")
+    """``df`` with the sum of ``value`` over all rows that come before in the order of ``keys``."""
+    return sums_before(df, keys, {name: value.cast("long")})
 
 
 def _shifted(df: DataFrame, value: str, by: int, name: str) -> DataFrame:
@@ -135,7 +123,7 @@ def repeated_starts(docs: DataFrame, length: int = 100) -> DataFrame:
     bytes_ = docs.select("doc", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
     array = suffix_array(docs).join(bytes_, "doc").withColumn("prefix", F.substring("b", F.col("start") + 1, F.lit(length)))
     array = array.where(F.octet_length("prefix") == length).select("rank", "doc", "start", "prefix")
-    rows = _ordered(array, ["rank"])
+    rows = ordered(array, ["rank"])
     last = rows.groupBy("_part").agg(F.max_by("prefix", "_at").alias("last"))
     carried = last.withColumn("carry", F.lag("last").over(Window.orderBy("_part"))).select("_part", "carry")  # one row a partition
     here = Window.partitionBy("_part").orderBy("_at")

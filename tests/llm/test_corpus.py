@@ -52,7 +52,7 @@ def test_mixing_meets_targets(spark):
         assert r["target"] == pytest.approx(expect[s]) and r["taken"] <= 3 * r["size"] and r["taken"] % max(1, r["size"]) == 0
         taken[s] = taken.get(s, 0) + r["taken"]
     assert all(abs(taken[s] - expect[s]) <= 30 for s in expect)
-    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs_of(spark, rows).repartition(5)).collect()}
+    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs_of(spark, rows).repartition(5), few_sources=2).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in out}
 
 
@@ -63,6 +63,15 @@ def test_mixing_edges(spark):
     same = docs_of(spark, [(1, "a b c", "en", "s")] * 40)
     assert sum(r["taken"] for r in mixing.mix(same).collect()) == 120
     assert mixing.repeat_by_mix(same).columns == same.columns and mixing.repeat_by_mix(same).count() == 40
+    rows = [(1, "a b c", "en", "s")] * 3 + [(1, "d e", "en", "s"), (None, "f", None, "s")] + [(9, "g " * 10, "en", "t")]
+    docs = docs_of(spark, rows)
+    by_id = {}
+    for r in mixing.mix(docs).collect():
+        by_id[r["doc_id"]] = by_id.get(r["doc_id"], 0) + r["taken"]
+    got = {}
+    for r in mixing.repeat_by_mix(docs).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
+    assert got == {k: v for k, v in by_id.items() if v}
 
 
 def test_pack_histogram_is_exact_and_tight():
