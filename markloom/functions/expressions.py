@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .facts import SPACE_CLASS, UNSAFE_PROPERTIES, URL_ATTRIBUTES
-from .policy import NO_END_TAG, RAW_TEXT, Policy
+from .facts import SPACE_CLASS
+from .fixed import ALLOWED_SCHEMES, NO_END_TAG, RAW_TEXT, UNSAFE_PROPERTIES, URL_ATTRIBUTES
+from .policy import Policy
 
 NBSP = "\xa0"
 
@@ -190,7 +191,7 @@ def element_text(events: Column, node_id: Column) -> Column:
     return F.array_join(F.transform(inside, lambda e: e["value"]), "")
 
 
-def harmful_scheme(url: Column, schemes=("http", "https", "ftp", "mailto", "tel"), protocol_relative: bool = True) -> Column:  # noqa: ANN001
+def harmful_scheme(url: Column, schemes=ALLOWED_SCHEMES, protocol_relative: bool = True) -> Column:  # noqa: ANN001
     """The lenient dialect's test: controls, spaces and HTML comments are taken out before the scheme is read."""
     s = F.regexp_replace(url, r"[\x00-\x20]+", "")
     s = F.regexp_replace(s, r"(?s)<!--.*?-->", "")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from .fixed import UNSAFE_PROPERTIES
+
 #: White space as browsers' script engines see it.
 SPACE = "\t\n\v\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE_CLASS = "[" + SPACE + "]"
@@ -14,10 +16,6 @@ _AUTHORITY = re.compile(r"//([^/?#]*)")
 _BAD_HOST = re.compile(r"[\x00\t\n\r #/:<>?@\[\\\]^|]")
 _PORT = re.compile(r":(\d*)\Z")
 
-#: Attributes whose value is a URL; the foreign one is in its space form.
-URL_ATTRIBUTES = frozenset("xlink href,manifest,srcdoc,data,poster,longdesc,cite,background,formaction,action,src,href".split(","))
-UNSAFE_PROPERTIES = frozenset(("-ms-behavior", "-moz-binding", "behavior"))
-
 
 def parsed_scheme(value: str) -> str | None:
     """Scheme of an absolute URL as a browser resolves it; None where it cannot be parsed."""

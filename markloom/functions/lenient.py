@@ -13,28 +13,16 @@ from html.entities import html5 as NAMED
 
 from .entities import LONGEST, code_point
 from .facts import SPACE, SPACE_CLASS
+from .fixed import INHERITED, LENIENT_CLOSES
+from .fixed import LENIENT_RAW as RAW
+from .fixed import LENIENT_VOID as VOID
 
 _NAMES = sorted(NAMED)
 _LONG = LONGEST - 1
 _ALNUM = re.compile(r"[0-9A-Za-z]*")
 _NUMBER = re.compile(r"#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?")
 
-VOID = frozenset("wbr track source param meta link keygen isindex input img hr frame embed command col br basefont base area".split())
-RAW = frozenset("xmp textarea title style script".split())
-
-_FIELDS = "textarea select optgroup option input datalist button"
-_CLOSES = {
-    "tr": "td th tr", "th": "th", "td": "th thead td", "body": "script link head", "li": "li", "option": "option",
-    "optgroup": "option optgroup", **dict.fromkeys(("dt", "dd"), "dt dd"), **dict.fromkeys(("rp", "rt"), "rp rt"),
-    **dict.fromkeys(("tfoot", "tbody"), "tbody thead"),
-    **dict.fromkeys("textarea datalist button output input select".split(), _FIELDS),
-    **dict.fromkeys(
-        "ul table section pre ol nav main hr header form footer figure figcaption fieldset dl div details blockquote aside"
-        " article address h6 h5 h4 h3 h2 h1 p".split(),
-        "p",
-    ),
-}
-CLOSES = {k: frozenset(v.split()) for k, v in _CLOSES.items()}
+CLOSES = {k: frozenset(v.split()) for k, v in LENIENT_CLOSES.items()}
 
 _SPACES = re.compile(f"{SPACE_CLASS}*")
 _TAG_NAME = re.compile(f"[^{SPACE}/>]*")
@@ -117,18 +105,11 @@ def _comment_end(s: str, at: int) -> int:
     return -1
 
 
-#: Names an object of a script engine has from the start; attributes so named are lost.
-_INHERITED = frozenset(
-    "__proto__ __lookupSetter__ __lookupGetter__ __defineSetter__ __defineGetter__ valueOf toString toLocaleString"
-    " propertyIsEnumerable isPrototypeOf hasOwnProperty constructor".split()
-)
-
-
 def keyed(attrs: list[tuple[str, str]]) -> dict[str, str]:
     """Attributes as a script object keeps them: the first of a name counts, small integers come first."""
     out: dict[str, str] = {}
     for k, v in attrs:
-        if k not in out and k not in _INHERITED:
+        if k not in out and k not in INHERITED:
             out[k] = v
     numbers = sorted((k for k in out if k.isascii() and k.isdigit() and (k == "0" or k[0] != "0") and int(k) < 2**32 - 1), key=int)
     return {k: out[k] for k in numbers} | out if numbers else out

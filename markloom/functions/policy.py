@@ -5,20 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from .facts import URL_ATTRIBUTES
+from . import fixed
+from .fixed import BASELINE_DROP, CONTENT_DROP, NO_END_TAG, RAW_TEXT, URL_ATTRIBUTES
 
 
-def _set(names: str) -> frozenset[str]:
-    return frozenset(names.split())
-
-
-BASELINE_DROP = _set("script")
-#: Disallowed elements that take their content with them.
-CONTENT_DROP = _set("xmp title textarea template style script option noscript noframes noembed iframe")
-NO_END_TAG = _set(
-    "wbr track source param meta link keygen isindex input img hr frame embed command col br bgsound basefont base area"
-)
-RAW_TEXT = _set("xmp style script plaintext noscript noframes noembed iframe")
 #: Names an ancestor mask can hold, by bit.
 MASKED = [*sorted(CONTENT_DROP | RAW_TEXT), *sorted(NO_END_TAG)]
 BIT = {name: 1 << k for k, name in enumerate(MASKED)}
@@ -65,35 +55,16 @@ def policy(tags: Iterable[str] = (), attrs: Mapping[str, Iterable[str]] | None =
     return Policy(frozenset(tags), {k: frozenset(v) for k, v in (attrs or {}).items()}, allow_unsafe)
 
 
-_BASIC = "ul strong pre p ol li i em code br blockquote b a"
-_MARKDOWN = (
-    "ul tr thead th td tbody table sup summary sub strong span s pre p ol li kbd input img hr em details del code br blockquote abbr a"
-    " h6 h5 h4 h3 h2 h1"
-)
-_UGC = (
-    "ul tr time thead tfoot th td tbody table sup sub strong span small samp s q pre p ol mark li kbd ins img i hr figure figcaption"
-    " em dt dl div del dd colgroup col code cite caption br blockquote b abbr a h6 h5 h4 h3 h2 h1"
-)
+def _preset(tags: str, attrs: Mapping[str, str]) -> Policy:
+    return policy(tags.split(), {tag: names.split() for tag, names in attrs.items()})
+
+
 PRESETS: dict[str, Policy] = {
     "none": policy(),
-    "basic": policy(_BASIC.split(), {"a": ("title", "href")}),
-    "ugc": policy(
-        _UGC.split(),
-        {
-            "*": ("title", "lang", "id", "dir", "class"), "a": ("target", "rel", "name", "href"),
-            "img": ("width", "src", "loading", "height", "alt"), "th": ("scope", "rowspan", "colspan"), "td": ("rowspan", "colspan"),
-            "colgroup": ("span",), "col": ("span",), "ol": ("type", "start", "reversed"), "time": ("datetime",), "abbr": ("title",),
-        },
-    ),
-    "markdown": policy(
-        _MARKDOWN.split(),
-        {
-            "a": ("title", "rel", "id", "href"), "img": ("width", "title", "src", "height", "alt"), "input": ("type", "disabled", "checked"),
-            **{tag: ("rowspan", "colspan", "align") for tag in ("td", "th")}, **{tag: ("class",) for tag in ("span", "pre", "code")},
-            "ol": ("start",), "sup": ("id",), "li": ("id",),
-        },
-    ),
-}
+    "basic": _preset(fixed.BASIC_TAGS, fixed.BASIC_ATTRIBUTES),
+    "ugc": _preset(fixed.UGC_TAGS, fixed.UGC_ATTRIBUTES),
+    "markdown": _preset(fixed.MARKDOWN_TAGS, fixed.MARKDOWN_ATTRIBUTES),
+}
 
 
 class Builder:

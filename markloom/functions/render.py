@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from .facts import URL_ATTRIBUTES, declarations, url_facts
-from .policy import BIT, NO_END_TAG, RAW_TEXT, Policy, attribute_verdict
+from .facts import declarations, url_facts
+from .fixed import NO_END_TAG, RAW_TEXT, URL_ATTRIBUTES
+from .policy import BIT, Policy, attribute_verdict
 from .tree import ELEMENT, REMARK, TEXT, TYPE, Node
 
 
