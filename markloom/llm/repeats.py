@@ -37,7 +37,7 @@ LENGTH = 100
 K = 32
 W = LENGTH - K + 1
 #: Bytes of text handled at once by the vector steps; longer texts go in pieces of MOST.
-STEP, MOST = 1 << 19, 1 << 21
+STEP, MOST = 1 << 19, 1 << 19
 #: Characters of text whose records are made, and whose copies are combined, at a time.
 SLICE = 12 << 20
 #: Bytes of text to a hash range of records.
