@@ -67,6 +67,35 @@ def test_transformers():
     assert sanitize_string("<a>x</a>", star) == '<a name="t">x</a>'
     text = {"transform_tags": {"b": lambda n, a: {"tag_name": n, "attribs": a, "text": "new"}}}
     assert sanitize_string("<b>old</b><i>y</i>", text) == "<b>new</b><i>y</i>"
+    assert sanitize_string("<p>a<br>b</p>", {"transform_tags": {"br": lambda n, a: {"tagName": "i", "text": " "}}}) == "<p>a<i> </i>b</p>"
+    assert sanitize_string("<p>old</p>x", {"transform_tags": {"p": lambda n, a: {"text": "new "}}}) == "new x"
+
+
+def test_hooks_see_opens_and_closes():
+    met = []
+    hooks = {"on_open_tag": lambda n, a: met.append((n, dict(a))), "on_close_tag": lambda n, implied: met.append((n, implied))}
+    sanitize_string("<div id=a><p>x<p>y</div>", {"allowed_tags": ["p"], **hooks})
+    assert met == [("div", {"id": "a"}), ("p", {}), ("p", True), ("p", {}), ("p", True), ("div", False)]
+
+
+@pytest.mark.parametrize(
+    ("html", "given", "expect"),
+    [
+        ("<b><i/", {"allowed_tags": ["b"]}, "<b>/</b>"),
+        ("<u>x", {"allowed_tags": [], "disallowed_tags_mode": "escape"}, "&lt;u&gt;x"),
+        ("x <u y", {"disallowed_tags_mode": "recursiveEscape"}, "x &lt;u y"),
+        ("<a href='java&#0000001script:x'>l</a>", {}, "<a>l</a>"),
+        ("<a href='/\\h/x'>l</a>", {"allow_protocol_relative": False}, "<a>l</a>"),
+        ("<iframe src='/\n\\h'>", {"allowed_tags": ["iframe"], "allowed_attributes": {"iframe": ["src"]}, "allowed_iframe_hostnames": ["k"], "allow_iframe_relative_urls": True}, "<iframe></iframe>"),
+        ("<script src='https://h/x'>y</script>", {"allowed_tags": ["script"], "allowed_attributes": {"script": ["src"]}, "allowed_script_hostnames": ["h"], "allow_vulnerable_tags": True}, '<script src="https://h/x"></script>'),
+        ("<p class='a-1 b'>x", {"allowed_classes": {"*": ["b"], "p": ["a-*"]}}, '<p class="a-1 b">x</p>'),
+        ("<textarea>&lt;b&gt;&amp;amp;</textarea>", {"allowed_tags": ["textarea"]}, "<textarea>&lt;b&gt;&amp;amp;</textarea>"),
+        ("a &amp; & &reg;", {"parser": {"decodeEntities": False}}, "a &amp; &amp; &reg;"),
+        ("<input checked form>", {"allowed_tags": "input", "allowed_attributes": {"input": ["checked", "form"]}}, "<input checked />"),
+    ],
+)
+def test_hard_cases(html, given, expect):
+    assert sanitize_string(html, given) == expect
 
 
 def test_entities_in_text_and_attributes():
