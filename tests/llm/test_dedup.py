@@ -200,7 +200,7 @@ def test_empty_tables(spark):
 def test_suffix_array_and_repeats(spark, monkeypatch):
     from markloom.llm import suffix_array
 
-    monkeypatch.setattr(suffix_array, "SMALL", 50)
+    monkeypatch.setattr(suffix_array, "SMALL", 90)  # one level of recursion
     rng = random.Random(3)
     texts = {i: "".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for i in range(4)} | {20: "ab" * 20, 21: "é" * 4, 22: "ab" * 20}
     docs = spark.createDataFrame(list(texts.items()), "doc long, text string")
