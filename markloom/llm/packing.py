@@ -29,6 +29,8 @@ CAPACITY = 2048
 EOT = 0
 #: Word cache of a Python worker: entries until it is emptied.
 CACHE_WORDS = 1_000_000
+#: Pieces of one length that are ranked together, about.
+ROWS_PER_BUCKET = 1000
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 _SEPARATORS = re.compile(r"[\x1c-\x1f]").search
@@ -177,7 +179,7 @@ def _slots(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
     return out
 
 
-def assign(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 50_000) -> DataFrame:
+def assign(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add sequence_id and offset to (id, piece, start, length, ...), which must be a stored table."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
@@ -185,8 +187,12 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 5
         _slots(counts, capacity),
         "s_length long, s_first long, s_ranks long, s_sequence long, s_offset long",
     )
-    buckets = max(1, sum(counts.values()) // rows_per_bucket)
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)))
+    # as many buckets as a length has rows for, so that common lengths spread and rare ones stay together
+    sizes = spark.createDataFrame([(n, -(-c // rows_per_bucket)) for n, c in counts.items()], "b_length long, b_buckets long")
+    spread = (
+        pieces.join(F.broadcast(sizes), F.col("length") == F.col("b_length"))  # at most `capacity` rows
+        .withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("b_buckets"))).drop("b_length", "b_buckets")
+    )
     per = spread.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     first = per.withColumn(
         "before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
