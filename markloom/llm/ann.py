@@ -4,7 +4,9 @@ Vectors are lifted by one coordinate to equal length, which makes the largest
 inner product the nearest point. Each is represented by its nearest pivots in
 order and posted, with its place in that order, in the inverted files of those
 pivots. A query reads the files of its own nearest pivots and sums up the
-footrule distance to every vector posted there; the best of them are scored
+footrule distance to every vector posted there. The best of them bound the k-th
+largest product from below; rows outside are tested against that bound by one
+product over the block, so that none is lost, and what meets it is scored
 exactly.
 
 Every row is indexed; only the pivots are a sample, at most ``PIVOTS``. The
@@ -28,9 +30,11 @@ from pyspark.sql import types as T
 PIVOTS = 256
 #: Pivots in an order: those a vector is posted under, and those a query visits.
 ORDER = 64
-#: Of a block's rows, so large a share, and at least so many, are scored exactly.
+#: Of a block's rows, so large a share, and at least so many, set the bound that the others must meet.
 SCORED_SHARE, SCORED_LEAST = 0.1, 200
 BLOCK_ROWS, QUERY_ROWS = 8192, 32_768
+#: Queries whose products with a block are taken at once.
+BATCH = 64
 
 
 def usable(vector: Column) -> Column:
@@ -126,15 +130,17 @@ def _search(k: int, n_pivots: int):  # noqa: ANN202
         files = Files(seq, n_pivots)
         scored = min(len(ids), max(SCORED_LEAST, k + 1, int(len(ids) * SCORED_SHARE)))
         out = []
-        for row, order, own in zip(q, q_seq, q_ids, strict=True):
+        for at, (row, order, own) in enumerate(zip(q, q_seq, q_ids, strict=True)):
+            if at % BATCH == 0:
+                products = q[at : at + BATCH] @ x.T
+            near, others = products[at % BATCH], ids != own
+            slack = 1e-9 * max(1.0, np.abs(near).max())  # the product's last bits depend on its layout: keep all that may be among the k
             foot = files.footrule(order)
-            limit = np.partition(foot, scored - 1)[scored - 1]
-            nearer, even = np.flatnonzero(foot < limit), np.flatnonzero(foot == limit)
-            best = np.concatenate([nearer, even[: scored - len(nearer)]])  # of even ones the smaller ids
-            best = best[ids[best] != own]
-            near = x[best] @ row
-            if len(best) > k:  # the product's last bits depend on its layout: keep all that may be among the k
-                best = best[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9 * max(1.0, np.abs(near).max())]
+            first = near[(foot <= np.partition(foot, scored - 1)[scored - 1]) & others]
+            bound = np.partition(first, len(first) - k)[len(first) - k] if len(first) > k else -np.inf
+            best = np.flatnonzero((near >= bound - slack) & others)
+            if len(best) > k:
+                best = best[near[best] >= np.partition(near[best], len(best) - k)[len(best) - k] - slack]
             score = exact_scores(x[best], row)
             top = np.lexsort((ids[best], -score))[:k]
             out.append((np.full(len(top), own), ids[best][top], score[top]))

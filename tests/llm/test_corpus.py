@@ -211,6 +211,23 @@ def test_nearest_recall_and_order(spark, block_rows, query_rows):
     assert hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_nearest_finds_all_on_larger_tables(spark, hot):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(9000 if hot else 2000, 64))
+    if hot:  # a third in one tight cluster
+        x[::3] = x[0] + 0.02 * rng.normal(size=(3000, 64))
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(docs, query_mod=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(range(0, len(x), 100))
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert found == set(np.argsort(-s)[:20].tolist())
+
+
 def test_nearest_small_tables(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)] + [(20, [1.0, 1.0])], schema)
