@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markloom.llm import exact_dedup, langid, mixing, packing, simhash
+from markloom.llm import exact_dedup, langid, mixing, near_copies, packing
 from markloom.llm.common import cut
 from markloom.llm.queries import vocabulary_path
 
@@ -24,7 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs)
+    """Of texts whose five-word shingles are alike by 0.8 or more (Jaccard), one stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -287,6 +287,30 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() >= counts[3]
 
 
+def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    text = lambda: [f"w{rng.randint(0, 4000)}" for _ in range(150)]
+    hot, rows = text(), []
+    for i in range(260):
+        words = list(hot) if i % 3 == 0 else list(rng.choice(rows)[1].split()) if rows and i % 3 == 1 else text()
+        for at in rng.sample(range(len(words)), rng.randint(0, 6)):
+            words[at] = f"x{i}"
+        rows.append((i if i != 200 else None, " ".join(words), "en", "s"))
+    rows += [(900, "one two", None, "s"), (901, "ONE  two", None, "s"), (902, None, None, "s"), (7, "another text with the id of seven", None, "t")]
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))}
+    like = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    kept = corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), SF)
+    stay = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    sets = [grams(t) for _, t in stay]
+    assert kept.columns == docs_of(spark, []).columns and not any(like(a, b) for i, a in enumerate(sets) for b in sets[:i])
+    went = [(i, t) for i, t, *_ in rows if (i, t) not in stay]
+    assert len(went) > 60 and (7, rows[-1][1]) in stay and (901, "ONE  two") in went
+    assert all(any(like(grams(t), grams(u)) and j is not None and (i is None or j < i) for j, u, *_ in rows) for i, t in went)
+    assert corpus_pipeline.drop_near_copies(spark, docs_of(spark, []), SF).count() == 0
+
+
 def test_footrule_of_inverted_files():
     rng = np.random.default_rng(2)
     seq = np.array([rng.permutation(12)[:5] for _ in range(40)], np.int16)
