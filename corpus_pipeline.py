@@ -7,6 +7,7 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from markloom.llm import exact_dedup, langid, mixing, near_copies, packing
 from markloom.llm.common import cut
@@ -14,9 +15,8 @@ from markloom.llm.queries import vocabulary_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language (null text, or no letter)."""
-    model = langid.train(docs)
-    return docs.where(langid.language(docs, model)["lang_pred"] != langid.UND)
+    """Drop documents in no language: null text, or no letter. Labels play no part."""
+    return docs.where(langid.lettered(F.col("text")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Language prediction and sampling by hash are beyond SQL; tests hold the stages against brute force.
+#: Sampling by hash and near copies are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StructType
 
 #: Features of the hashed n-gram space.
 DIM = 4096
@@ -43,6 +43,12 @@ def has_letter(text: str) -> bool:
     return _letter(text) is not None
 
 
+@F.pandas_udf(BooleanType())
+def lettered(part: pd.Series) -> pd.Series:
+    """Whether a text has a letter; null has none."""
+    return pd.Series([isinstance(t, str) and has_letter(t) for t in part], dtype=bool)
+
+
 def features(texts: list[str]) -> np.ndarray:
     """Rows of L2-normed log counts of byte 1- to 3-grams, hashed to DIM columns."""
     out = np.zeros((len(texts), DIM), np.float32)

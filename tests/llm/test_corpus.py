@@ -287,6 +287,13 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() >= counts[3]
 
 
+def test_pipeline_keeps_unlabelled_texts(spark):
+    import corpus_pipeline
+
+    rows = [(1, "clean words", None, "s"), (2, "日本", None, None), (3, "12 34", None, "s"), (4, None, None, "s"), (5, "", None, "s")]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs_of(spark, rows), SF).collect()) == [1, 2]
+
+
 def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
     import corpus_pipeline
 
