@@ -7,20 +7,25 @@ links are written to the shared folder, which cuts the lineage.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
-def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
+def components(links: DataFrame, max_steps: int | None = None) -> DataFrame:
     """(a, b) links of long ids -> (node, component), the least id reachable.
 
     Only nodes that have a link appear. Loops and repeated links are harmless.
+    Steps go on until nothing changes; more than ``max_steps``, if given, raise.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-links")
     before = None
-    for _ in range(max_steps):
+    for step in count():
+        if step == max_steps:
+            raise RuntimeError(f"links have not settled in {max_steps} steps")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -147,6 +147,12 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_never_stop_unsettled(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(chain, max_steps=1)
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, text in sorted(rows):
