@@ -1,108 +1,125 @@
 """Exact dedup over an extendible-hash index on shared files. DataFrame operations only.
 
 One pass makes a narrow facts table (row, 64-bit key, digest, bytes) in the
-shared folder. From its key histogram the directory is doubled until no bucket
-holds more bytes than its capacity, or the depth limit is met. A second pass
-groups whole texts by (bucket, key, bytes of the text): keys that collide chain
-up in their bucket and are told apart by comparing bytes. Copies are combined
-before the exchange, so a text that a third of all rows share costs each task
-one row. The index holds one narrow entry per distinct text; facts meet it by
-key and digest in a join whose skewed side Spark splits.
+shared folder. Keys are dealt to buckets by their leading bits: the directory
+starts at the depth the whole table needs and doubles while a bucket holds more
+bytes than its capacity, so it deepens with the data and where it is crowded.
+
+Texts travel only where keys meet: a key with one row needs no comparison. The
+texts of the other keys are grouped by their bytes, copies being combined before
+the exchange, so a text that a third of all rows share costs each task one row.
+What is left, one entry for each distinct text, goes to the owner task of its
+bucket, which chains the entries of a key and writes the bucket. Rows then meet
+the index by key and digest in a join whose skewed side Spark splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, tag_rows
 
-MAX_DEPTH = 14
+CAPACITY_BYTES = 4 << 20
+#: Key bits: beyond them no bucket can be split.
+KEY_BITS = 64
 
 
-def build_directory(facts: DataFrame, capacity_bytes: int = 4 << 20, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Directory of an extendible hash: (slot, bucket, depth), one row per used slot.
+def buckets(keys: DataFrame, capacity_bytes: int = CAPACITY_BYTES) -> DataFrame:
+    """(key, n_bytes, ...), a stored table of distinct keys -> the same with bucket and depth.
 
-    ``slot`` is the top ``max_depth`` bits of the key. A bucket covers the slots
-    that share its ``depth`` leading bits and is named by the first of them; it
-    is split, doubling the directory, while it holds more than
-    ``capacity_bytes`` of distinct keys. At most 2**max_depth rows.
+    A bucket is named by the ``depth`` leading bits of its keys. It is split
+    while it holds more than ``capacity_bytes`` and more than one key. Each
+    round looks only at what is still overfull.
     """
-    slots = (
-        facts.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"))
-        .groupBy(F.shiftrightunsigned("key", 64 - max_depth).cast("int").alias("slot"))
-        .agg(F.sum("n_bytes").alias("n"))
-    )
-    ladder = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")).withColumn(
-        "first", F.expr(f"shiftleft(shiftright(slot, {max_depth} - depth), {max_depth} - depth)")
-    )
-    fits = (
-        ladder.groupBy("depth", "first").agg(F.sum("n").alias("held"))
-        .where((F.col("held") <= capacity_bytes) | (F.col("depth") == max_depth))
+    total = keys.agg(F.sum("n_bytes")).first()[0] or 0
+    depth = max(0, (int(total) // capacity_bytes).bit_length() - 1)
+    rest, done = keys, None
+    while True:
+        lead = F.shiftrightunsigned("key", KEY_BITS - depth) if depth else F.lit(0).cast("long")
+        named = rest.withColumn("bucket", lead).withColumn("depth", F.lit(depth))
+        held = named.groupBy("bucket").agg(F.sum("n_bytes").alias("_held"), F.count(F.lit(1)).alias("_keys"))
+        full = held.select("bucket", ((F.col("_held") > capacity_bytes) & (F.col("_keys") > 1)).alias("_full"))
+        judged = cut(named.join(full, "bucket"), "dedup-directory")
+        fits = judged.where(~F.col("_full")).drop("_full")
+        done = fits if done is None else done.unionByName(fits)
+        rest = judged.where("_full").drop("_full", "bucket", "depth")
+        if depth == KEY_BITS or not rest.limit(1).count():
+            return done
+        depth += 1
+
+
+def exact_index(facts: DataFrame, base: DataFrame, capacity_bytes: int = CAPACITY_BYTES) -> DataFrame:
+    """The index on shared files: bucket, depth, key, link, sha, group_size, keeper; one entry for each distinct text.
+
+    ``link`` is the entry's place in the chain of its key, 0 unless keys collide.
+    """
+    keys = facts.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_rows"))
+    owned = buckets(cut(keys, "dedup-keys"), capacity_bytes)
+    entry = ("bucket", "depth", "key", "sha", "group_size", "keeper")
+    met = owned.where("n_rows > 1").select("bucket", "depth", "key")
+    norm = ascii_lower(F.col("text"))
+    same = (
+        base.withColumn("norm", norm).withColumn("key", F.xxhash64("norm")).join(met.select("key"), "key", "left_semi")
+        .groupBy("key", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "digest")).alias("keeper"))
+        .select("key", F.sha2("norm", 256).alias("sha"), "group_size", "keeper")
     )
-    return (
-        ladder.join(F.broadcast(fits), ["depth", "first"])  # at most 2**(max_depth + 1) buckets
-        .groupBy("slot")
-        .agg(F.min(F.struct("depth", "first")).alias("leaf"))
-        .select("slot", F.col("leaf.first").alias("bucket"), F.col("leaf.depth").alias("depth"))
+    alone = facts.join(owned.where("n_rows = 1").select("bucket", "depth", "key"), "key").select(
+        "bucket", "depth", "key", "sha", F.lit(1).cast("long").alias("group_size"), F.struct("id", "digest").alias("keeper")
     )
+    entries = alone.unionByName(same.join(met, "key").select(*entry))
+    # the owner of a bucket has all of it: chains need no further exchange
+    chain = Window.partitionBy("bucket", "key").orderBy("sha")
+    owners = entries.repartition("bucket").withColumn("link", F.row_number().over(chain) - 1)
+    return cut(owners.sortWithinPartitions("bucket", "key", "link"), "dedup-index")
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    norm = ascii_lower(F.col(text))
-    return docs.withColumn("norm", norm).withColumn("key", F.xxhash64("norm"))
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity_bytes: int = CAPACITY_BYTES,
+) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the
     row with the largest id stays; of repeated rows with that id, one. A null id
     sorts below all others and a null text counts as empty. An empty table gives
-    no rows. Other columns of ``docs`` are ignored.
+    no rows. Other columns of ``docs`` are ignored, whatever their names.
     """
+    # both passes over the texts name a row by its id and the hash of its text as it stands
     base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    facts = cut(
-        tag_rows(_keyed(base, "text"))
-        .select("id", "_rid", "key", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes")),
-        "dedup-facts",
-    )
-    slot = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    directory = cut(build_directory(facts), "dedup-directory")  # at most 2**MAX_DEPTH rows
-    chains = (
-        _keyed(base, "text").withColumn("slot", slot)
-        .join(F.broadcast(directory.select("slot", "bucket")), "slot")
-        .groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("group_size"))
-        .select("bucket", "key", F.sha2("norm", 256).alias("sha"), "group_size")
+    norm = ascii_lower(F.col("text"))
+    facts = base.withColumn("norm", norm).select(
+        "id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("sha"), F.octet_length("norm").cast("long").alias("n_bytes"),
+        F.xxhash64("text").alias("digest"),
     )
-    keepers = (
-        facts.groupBy("key", "sha")
-        .agg(F.max(F.struct("id", "_rid")).alias("keeper"))
-        .select("key", "sha", "keeper")
+    facts = cut(facts, "dedup-facts")
+    index = exact_index(facts, base.withColumn("digest", F.xxhash64("text")), capacity_bytes)
+    found = cut(
+        tag_rows(facts).join(index.select("key", "sha", "group_size", "keeper"), ["key", "sha"])
+        .withColumn("lead", F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("digest") == F.col("keeper.digest"))),
+        "dedup-found",
     )
-    # the index: entries of a bucket lie together, ordered by key, written by the bucket's owner
-    entries = chains.join(keepers, ["key", "sha"]).repartition("bucket").sortWithinPartitions("bucket", "key")
-    index = cut(entries, "dedup-index").drop("bucket")
-    return facts.join(index, ["key", "sha"]).select(
+    # rows that repeat id and text of the keeper: the one of the least row number stays
+    one = found.where("lead and group_size > 1").groupBy("key", "sha").agg(F.min("_rid").alias("_one"))
+    return found.join(one, ["key", "sha"], "left").select(
         F.col("id").alias(id_col),
         F.col("keeper.id").alias("keep_id"),
         "group_size",
-        (F.col("_rid") == F.col("keeper._rid")).alias("kept"),
+        (F.col("lead") & F.coalesce(F.col("_rid") == F.col("_one"), F.lit(True))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without exact copies, all columns kept.
+    """``docs`` without exact copies, all columns kept, whatever their names.
 
     The same rule as ``exact_groups``. Rows repeated with one id and equal texts
     are reduced by a shuffle of whole rows only when the table has such rows.
     """
     groups = cut(exact_groups(docs, id_col, text).where("kept"), "dedup-kept")
-    kept = groups.select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha", F.sha2(ascii_lower(F.col(text)), 256))
-    out = marked.join(kept, marked[id_col].eqNullSafe(kept["_keep"]) & (marked["_sha"] == kept["_sha"]), "left_semi")
+    kept = groups.select(F.col(id_col).alias("_dedup_id"), F.col("text_sha256").alias("_dedup_sha"))
+    marked = docs.withColumn("_dedup_own", F.sha2(ascii_lower(F.col(text)), 256))
+    out = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_own") == F.col("_dedup_sha")), "left_semi")
     repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
     if repeated:
-        out = out.dropDuplicates([id_col, "_sha"])
-    return out.drop("_sha")
+        out = out.dropDuplicates([id_col, "_dedup_own"])
+    return out.select(*docs.columns)
