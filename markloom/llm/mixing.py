@@ -1,11 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame operations only.
 
 A source with target/size ratio r gives floor(r) whole copies of each document
-for certain and one more copy to a sample of inclusion probability f = r -
-floor(r): documents are ranked by random odds over inclusion odds,
-(u/(1-u)) / (f/(1-f)), u being a hash of the id, and taken until the words
-wanted are reached. One further document, the one whose size comes closest to
-what is still missing, closes the gap.
+for certain and one more copy to a sample that is to hold the fraction f = r -
+floor(r) of its words. Inclusion is unequal: a document of s words is included
+with probability f (1 + (1 - f) (g - G)), where g = s / (s + mean size) and G is
+the mean of g over the words of the source, so that longer documents are likelier
+(a sample of given words then takes fewer, longer ones), every probability lies
+between 0 and 1, and the words expected are f of the source's. Documents are
+ranked by random odds over inclusion odds, (u/(1-u)) / (p/(1-p)), u being a hash
+of id and content, and taken until the words wanted are reached: the size that
+is fixed is that in words, as targets are. One further document, the one whose
+size comes closest to what is still missing, closes the gap.
 
 No task sees a whole source: ranks are cut into buckets of about the square
 root of the source's rows, sums per bucket tell which are taken whole, and only
@@ -76,15 +81,18 @@ def mix(
 
     ``taken`` = copies x size. Null text has size 0 and null is a source of its
     own, last in order. Documents of size 0, and all documents of sources
-    without words, are taken 0 times. Repeated rows are sampled apart. Reruns
-    agree, as chance comes from ids alone.
+    without words, are taken 0 times. Reruns agree however the rows are dealt, as
+    chance and ties come from id and content alone; rows alike in all of them
+    are alike in any order. Columns other than the three are ignored, whatever
+    their names. An empty table gives no rows.
     """
     more = [] if digest is None else ["_digest"]
     base = docs.select(
-        F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *[digest.alias(c) for c in more]
-    )
+        F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.col(text), F.col(source)).alias("body"), *[digest.alias(c) for c in more],
+    )
     keyed = tag_rows(base)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "body"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     facts = cut(keyed.withColumn("u", u), "mix-facts")
     per_source = cut(facts.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "mix-sources")
     plan = (
@@ -103,12 +111,15 @@ def mix(
         r = right.withColumnRenamed("source", "_s")
         return left.join(hint(r), left["source"].eqNullSafe(r["_s"]), how).drop("_s")
 
-    # Pareto rank: within a source f is one number, so the rank is monotone in u and buckets of u are buckets of rank
-    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("f")) / F.col("f"))
+    sized = by_source(facts, plan).withColumn("g", F.when(F.col("size") > 0, F.col("size") / (F.col("size") + F.col("source_size") / F.col("n_docs"))))
+    middle = cut(sized.where("size > 0").groupBy("source").agg((F.sum(F.col("g") * F.col("size")) / F.sum("size")).alias("mid")), "mix-middle")
+    chance = F.col("f") * (1 + (1 - F.col("f")) * (F.col("g") - F.round("mid", 9)))  # rounded: sums of fractions depend on their order
+    # Pareto rank of a document; q / (1 + q) lies between 0 and 1, and its buckets are buckets of rank
+    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("chance")) / F.col("chance"))
     ranked = (
-        by_source(facts, plan)
+        by_source(sized, middle, "left").withColumn("chance", chance)
         .withColumn("q", F.when((F.col("f") > 1e-12) & (F.col("size") > 0), odds))
-        .withColumn("bucket", F.floor(F.col("u") * F.col("n_buckets")))
+        .withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * F.col("n_buckets")))
     )
     sums = ranked.where("q is not null").groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.first("goal").alias("goal"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -120,19 +131,20 @@ def mix(
     )
     edge = cut(edge, "mix-edge")
     at_edge = by_source(ranked.where("q is not null"), edge).where("bucket = edge")
-    cum = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "id", "size", "_rid").rowsBetween(Window.unboundedPreceding, 0))
+    cum = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "id", "size", "body", "_rid").rowsBetween(Window.unboundedPreceding, 0))
     at_edge = at_edge.withColumn("cum", cum)
     # the last row that still fits, and what is missing after it
     cutoff = cut(
         at_edge.where("cum <= goal")
-        .groupBy("source").agg(F.max(F.struct("q", "id", "size", "_rid", "cum")).alias("last")),
+        .groupBy("source").agg(F.max(F.struct("q", "id", "size", "body", "_rid", "cum")).alias("last")),
         "mix-cutoff",
     )
     decided = by_source(by_source(ranked, edge, "left"), cutoff, "left")
+    order = ("q", "id", "size", "body", "_rid")
     sampled = F.col("q").isNotNull() & (
         F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))
         | ((F.col("bucket") == F.col("edge")) & F.col("last").isNotNull()
-           & (F.struct("q", "id", "size", "_rid") <= F.struct(F.col("last.q").alias("q"), F.col("last.id").alias("id"), F.col("last.size").alias("size"), F.col("last._rid").alias("_rid"))))
+           & (F.struct(*order) <= F.struct(*[F.col(f"last.{c}").alias(c) for c in order])))
     )
     decided = decided.withColumn("sampled", F.coalesce(sampled, F.lit(False)))
     missing = F.col("goal") - F.coalesce(F.col("last.cum"), F.col("before").cast("long"), F.lit(0))
@@ -140,7 +152,7 @@ def mix(
         decided.where(F.col("edge").isNotNull() & F.col("q").isNotNull() & ~F.col("sampled"))
         .withColumn("off", F.abs(missing - F.col("size")))
         .where(F.col("off") < missing)
-        .groupBy("source").agg(F.min(F.struct("off", "q", "_rid")).alias("best"))
+        .groupBy("source").agg(F.min(F.struct("off", "q", "id", "body", "_rid")).alias("best"))
         .select("source", F.col("best._rid").alias("extra"))
     )
     closer = cut(closer, "mix-closer")
@@ -163,10 +175,11 @@ def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
         F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows")
     )
     taken = cut(taken.where("_mix_copies > 0"), "mix-taken")
-    joined = docs.withColumn("_mix_own", digest).join(taken, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_digest")))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("_mix_own_id"), digest.alias("_mix_own"))
+    joined = rows.join(taken, F.col("_mix_own_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_digest")))
     each, rest = F.expr("cast(_mix_copies div _mix_rows as int)"), F.expr("cast(_mix_copies % _mix_rows as int)")
-    out = joined.where(each > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    out = joined.where(each > 0).select("row", F.explode(F.sequence(F.lit(1), each))).select("row.*")
     if not taken.where(rest > 0).limit(1).count():
         return out
-    lead = joined.where(rest > 0).groupBy("_mix_id", "_mix_digest").agg(F.first(F.struct(*docs.columns)).alias("_mix_row"), F.first(rest).alias("_mix_rest"))
-    return out.unionByName(lead.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_rest")))).select("_mix_row.*"))
+    lead = joined.where(rest > 0).groupBy("_mix_id", "_mix_digest").agg(F.first("row").alias("row"), F.first(rest).alias("_mix_rest"))
+    return out.unionByName(lead.select("row", F.explode(F.sequence(F.lit(1), F.col("_mix_rest")))).select("row.*"))
