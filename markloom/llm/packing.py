@@ -7,13 +7,15 @@ still fits; the others go, longest first, to the tightest remaining gap. Equal
 bins are handled as one class with a multiplicity, so the plan's size depends on
 the capacity alone, not on the number of documents. Pieces then find their slot
 by their rank among pieces of equal length; ranks come from counts per (length,
-bucket) and a rank within the bucket, so no task holds a whole length.
+bucket), summed up by ranges, and a rank within the bucket. A length of n pieces
+has about sqrt(n) buckets of sqrt(n) pieces, so no task holds a whole length.
 """
 
 from __future__ import annotations
 
 import array
 import bisect
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,14 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, sums_before
 
 CAPACITY = 2048
 EOT = 0
 #: Word cache of a Python worker: entries until it is emptied.
 CACHE_WORDS = 1_000_000
-#: Pieces of one length that are ranked together, about.
-ROWS_PER_BUCKET = 1000
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 _SEPARATORS = re.compile(r"[\x1c-\x1f]").search
@@ -179,7 +179,7 @@ def _slots(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
     return out
 
 
-def assign(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to (id, piece, start, length, ...), which must be a stored table."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
@@ -187,16 +187,18 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = R
         _slots(counts, capacity),
         "s_length long, s_first long, s_ranks long, s_sequence long, s_offset long",
     )
-    # as many buckets as a length has rows for, so that common lengths spread and rare ones stay together
-    sizes = spark.createDataFrame([(n, -(-c // rows_per_bucket)) for n, c in counts.items()], "b_length long, b_buckets long")
+    starts, seen = [], 0
+    for n in sorted(counts):
+        starts.append((n, math.isqrt(counts[n]) + 1, seen))
+        seen += counts[n]
+    lengths = spark.createDataFrame(starts, "b_length long, b_buckets long, b_start long")
     spread = (
-        pieces.join(F.broadcast(sizes), F.col("length") == F.col("b_length"))  # at most `capacity` rows
-        .withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("b_buckets"))).drop("b_length", "b_buckets")
+        pieces.join(F.broadcast(lengths), F.col("length") == F.col("b_length"))  # at most `capacity` rows
+        .withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("b_buckets")))
     )
-    per = spread.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    first = per.withColumn(
-        "before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("n")
+    per = spread.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"), F.first("b_start").alias("b_start"))
+    first = sums_before(per, ["length", "bucket"], {"before": F.col("n")}).select("length", "bucket", (F.col("before") - F.col("b_start")).alias("before"))
+    spread = spread.drop("b_length", "b_buckets", "b_start")
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")) - 1
     ranked = (
         spread.withColumn("inside", inside)
