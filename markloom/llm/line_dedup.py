@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MIN_SITES = 5
-MIN_CHARS = 20
+#: Lines of fewer characters neither count nor go; blank lines never do.
+MIN_CHARS = 1
 BLANKS = " \t\r"
 #: Relative error of the sketches, and the estimates, as shares of the threshold, between which lines are counted exactly.
 SKETCH_ERROR, LOW, HIGH = 0.1, 0.4, 3.0
@@ -63,15 +64,16 @@ def drop_lines(
     """``docs`` with ``text`` cleaned of boilerplate lines, and n_lines and n_removed.
 
     Null text stays null, with 0 lines; other texts have one line more than
-    line feeds, so empty text has one. Blank and short lines always stay.
-    Repeated rows are cleaned alike; other columns pass unchanged, those named
-    n_lines or n_removed are replaced. An empty table gives no rows.
+    line feeds, so empty text has one. Every line that is not blank counts,
+    unless ``min_chars`` is raised; blank lines always stay. Repeated rows are
+    cleaned alike; other columns pass unchanged, whatever their names, those
+    named n_lines or n_removed are replaced. An empty table gives no rows.
     """
     found = boilerplate(docs, text, site, min_sites, min_chars)
     if found.count() > broadcast_lines:
         return _drop_by_join(docs, found, text, min_chars)
     shared = docs.sparkSession.sparkContext.broadcast({r["h"] for r in found.collect()})  # at most broadcast_lines
-    keep = [c for c in docs.columns if c not in {text, "n_lines", "n_removed"}]
+    keep = _others(docs, text)
 
     from pyspark.sql.types import StructType
 
@@ -91,21 +93,28 @@ def drop_lines(
                 rows.append(("\n".join(stay) if len(stay) < len(lines) else body, len(lines), len(lines) - len(stay)))
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    return docs.withColumn("_c", clean(F.col(text))).select(*keep, F.col("_c.text").alias(text), "_c.n_lines", "_c.n_removed")
+    made = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), clean(F.col(text)).alias("made"))
+    return made.select("row.*", F.col("made.text").alias(text), "made.n_lines", "made.n_removed")
+
+
+def _others(docs: DataFrame, text: str) -> list[str]:
+    return [c for c in docs.columns if c not in {text, "n_lines", "n_removed"}]
 
 
 def _drop_by_join(docs: DataFrame, found: DataFrame, text: str, min_chars: int) -> DataFrame:
     """The same by joins: distinct texts, told apart by digest, are spread into lines and put together again."""
-    keep = [c for c in docs.columns if c not in {text, "n_lines", "n_removed"}]
-    marked = docs.withColumn("_t", F.sha2(F.col(text), 256))
-    texts = marked.where(F.col(text).isNotNull()).groupBy("_t").agg(F.first(text).alias("_body"))
-    lines = texts.select("_t", F.posexplode(F.split("_body", "\n")).alias("at", "line"))
-    lines = lines.withColumn("h", F.when(F.length(_line(F.col("line"))) >= min_chars, F.xxhash64(_line(F.col("line")))))
-    hit = lines.join(found.select("h", F.lit(True).alias("_hit")), "h", "left")
-    back = hit.groupBy("_t").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count("_hit").alias("n_removed"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_hit").isNull(), F.struct("at", "line")))), lambda x: x["line"]), "\n").alias("_clean"),
+    keep = _others(docs, text)
+    marked = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(text).alias("body"), F.sha2(F.col(text), 256).alias("t"))
+    texts = marked.where("body is not null").groupBy("t").agg(F.first("body").alias("body"))
+    lines = texts.select("t", F.posexplode(F.split("body", "\n")).alias("at", "line"))
+    asked = F.length(_line(F.col("line"))) >= min_chars
+    # lines that are not asked for get keys of their own, so that they spread over the tasks
+    lines = lines.withColumn("asked", asked).withColumn("k", F.when(asked, F.xxhash64(_line(F.col("line")))).otherwise(F.xxhash64("t", "at")))
+    hit = lines.join(found.select(F.col("h").alias("k"), F.lit(True).alias("known")), "k", "left").withColumn("hit", F.col("asked") & F.coalesce("known", F.lit(False)))
+    back = hit.groupBy("t").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("hit").cast("long")).alias("n_removed"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("hit"), F.struct("at", "line")))), lambda x: x["line"]), "\n").alias("clean"),
     )
-    return marked.join(back, "_t", "left").select(
-        *keep, F.col("_clean").alias(text), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed")
+    return marked.drop("body").join(back, "t", "left").select(
+        "row.*", F.col("clean").alias(text), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed")
     )
