@@ -7,20 +7,21 @@ how well its classifier did on that language in training, and flags ambiguity
 where the two nearest codewords are close.
 
 Classifiers are fitted on the driver on a bounded sample of labelled rows:
-``SAMPLE_PER_LANG`` a language and ``SAMPLE_ROWS`` in all, chosen by a hash of
-the id. Whole texts are read, in training and in prediction.
+``SAMPLE_PER_LANG`` a language and ``SAMPLE_ROWS`` in all, those of the least
+hashes of id and text. Every label is learned; of more than ``SAMPLE_ROWS``
+labels, that many, the most frequent. Whole texts are read, in training and in prediction.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructType
 
@@ -30,9 +31,11 @@ SAMPLE_PER_LANG = 900
 SAMPLE_ROWS = 6000
 #: A margin between the two nearest codewords below this is ambiguous.
 AMBIGUOUS = 0.15
+#: Ambiguous documents of a lower score are rejected.
+LEAST_SCORE = 0.5
 UND = "und"
 
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 _BYTES = np.arange(256)
 # non-letters of ASCII become a space; bytes of longer characters stay
 _FOLD = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -141,12 +144,11 @@ def fit(x: np.ndarray, langs: list[str], rounds: int = 120) -> Model | None:
         k = t / (t + 3)
         vw, vb = nw + k * (nw - w), nb + k * (nb - b)
         w, b = nw, nb
-    scale = 1.0
     right = (x @ w + b) * y > 0
     trust = np.array([right[y_at == k].mean(axis=0) for k in range(len(names))], np.float32)
     trust = np.maximum(trust - 0.5, 0.02)
     trust /= trust.sum(axis=1, keepdims=True)
-    return Model(names, code, trust, w * scale, b * scale)
+    return Model(names, code, trust, w, b)
 
 
 def training_sample(
@@ -155,26 +157,19 @@ def training_sample(
 ) -> tuple[np.ndarray, list[str]]:
     """Features (made on the executors, from whole texts) and languages of a bounded sample of labelled rows."""
     labelled = docs.where(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    h = F.xxhash64(F.lit(5), F.col(id_col), F.col(text))
+    named = labelled.select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = [(r["lang"], r["n"]) for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()]
     if not counts:
         return np.zeros((0, DIM), np.float32), []
     each = max(1, min(per_lang, rows // len(counts)))
-    # a hash threshold takes about `each` rows of a language without ordering any
-    chance = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, each / n))])
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col(id_col), F.octet_length(text)), 11).cast("double") / F.lit(float(1 << 53))
-    got = (
-        labelled.where((u < chance[F.col(lang)]) | (chance[F.col(lang)] >= 1.0))
-        .select(F.xxhash64(F.col(id_col), F.col(text)).alias("h"), F.col(lang).alias("lang"), _packed(F.col(text)).alias("x"))
-        .limit(2 * rows)  # the documented bound of the training sample
-        .collect()
-    )
-    got.sort(key=lambda r: (r["h"], r["lang"]))
-    taken: dict[str, int] = {}
-    kept = []
-    for r in got:
-        if taken.get(r["lang"], 0) < each:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            kept.append(r)
+    # a hash threshold leaves somewhat more rows of a language than wanted; those of the least hashes are kept
+    chances = docs.sparkSession.createDataFrame([(k, min(1.0, (1.5 * each + 30) / n)) for k, n in counts], "lang string, chance double")
+    u = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))
+    few = named.withColumn("u", u).join(F.broadcast(chances), "lang").where("u < chance or chance >= 1.0")  # at most `rows` labels
+    least = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("u", "h"))).where(F.col("place") <= each)
+    got = least.select("h", "lang", _packed(F.col("text")).alias("x")).collect()  # the documented bound of the training sample
+    kept = sorted(got, key=lambda r: (r["h"], r["lang"]))
     x = np.zeros((len(kept), DIM), np.float32)
     for i, r in enumerate(kept):
         x[i] = np.frombuffer(r["x"], np.float16)
@@ -194,7 +189,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """
     names = {"lang_pred", "score", "lang_ambiguous"}
     keep = [c for c in docs.columns if c not in names]
-    return docs.withColumn("_g", language(docs, model, text)).select(*keep, "_g.lang_pred", "_g.score", "_g.lang_ambiguous")
+    made = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), language(docs, model, text).alias("made"))
+    return made.select("row.*", "made.lang_pred", "made.score", "made.lang_ambiguous")
 
 
 def language(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
@@ -224,6 +220,22 @@ def language(docs: DataFrame, model: Model | None, text: str = "text") -> Column
     return guess(F.col(text))
 
 
+def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the documents that the decoder rejects, all columns kept, whatever their names.
+
+    Rejected are null texts, texts without a letter, and texts whose two nearest
+    codewords are close while no language has half of the weight. Classifiers
+    learn from the labels of ``docs`` itself; where there is none, only the first
+    two sorts go. Repeated rows stay or go together. An empty table gives no rows.
+    """
+    model = train(docs.select(id_col, text, lang), None, id_col, text, lang)
+    if model is None:
+        return docs.where(lettered(F.col(text)))
+    made = docs.select(F.struct(*docs.columns).alias("row"), language(docs, model, text).alias("guess"))
+    sure = (F.col("guess.lang_pred") != UND) & ~(F.col("guess.lang_ambiguous") & (F.col("guess.score") < LEAST_SCORE))
+    return made.where(sure).select("row.*")
+
+
 def fold(id_col: str = "doc_id"):  # noqa: ANN201
     """crc32 of the id as text, mod 5."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
