@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="markloom-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -61,6 +63,12 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def dealt(stored: DataFrame, rows: int) -> DataFrame:
+    """A stored table dealt out to tasks of about ``rows`` rows, if it lies in fewer parts."""
+    parts = -(-stored.count() // rows)
+    return stored.repartition(parts) if stored.rdd.getNumPartitions() < parts else stored
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty. Pure ASCII takes the fast path."""
     text = F.coalesce(text, F.lit(""))

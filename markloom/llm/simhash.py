@@ -23,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dealt
 from .components import components
 
 MAX_BITS = 3
 SHINGLE = 3
+#: Fingerprints whose variants one task makes, about.
+NODES_PER_TASK = 20_000
 #: Variants shared by more fingerprints than this are cut further.
 CROWD = 48
 
@@ -71,14 +73,27 @@ def _parts(word: str, n: int) -> str:
     return "array(" + ", ".join(f"(shiftright({word}, {k * size}) & {(1 << min(size, 32 - k * size)) - 1})" for k in range(n)) + ")"
 
 
+def _first_equal(one: str, other: str) -> str:
+    """SQL: none of the parts before number ``part`` is equal in both words."""
+
+    def before(n: int) -> str:
+        size = -(-32 // n)
+        tests = [f"(part <= {k} or shiftright({one} ^ {other}, {k * size}) & {(1 << min(size, 32 - k * size)) - 1} <> 0)" for k in range(n - 1)]
+        return "(" + " and ".join(tests) + ")"
+
+    return f"if(s = 2, {before(4)}, {before(3)})"
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
-    """(a, b): ids of all linked pairs among (id, fp) rows with distinct fp, each once or more.
+    """(a, b): ids of all linked pairs among the rows (id, fp) of a stored table with distinct fp, each pair once.
 
-    ``max_bits`` is at most 3: two halves, one of them within one bit.
+    ``max_bits`` is at most 3: two halves, one of them within one bit. A pair
+    that meets under several keys is given under the first of them only.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must be 0 to 3")
-    halves = nodes.select(
+    # each row makes 66 variants: many small parts, however few files the table has
+    halves = dealt(nodes, NODES_PER_TASK).select(
         "id", "fp",
         F.explode(F.array(
             F.struct(F.lit(0).alias("half"), F.expr("shiftrightunsigned(fp, 32)").alias("seg"), F.expr("fp & 4294967295L").alias("rest")),
@@ -103,14 +118,17 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> Dat
     # bits left for the other half: 3 where the half is equal, else 2; so of 4 (or 3) parts one is equal
     cuts = F.when(F.col("side") == 2, F.expr(_parts("rest", 4))).otherwise(F.expr(_parts("rest", 3)))
     keyed = live.select(
-        "id", "fp", "key", "side",
+        "id", "fp", "key", "side", "rest",
         F.posexplode(F.when(F.col("n") > crowd, cuts).otherwise(F.array(F.lit(-1).cast("long")))).alias("part", "value"),
     )
-    left = keyed.where("side <> 1").select("key", "part", "value", F.col("side").alias("s"), F.col("id").alias("a"), F.col("fp").alias("x"))
-    right = keyed.where("side <> 0").select("key", "part", "value", F.col("id").alias("b"), F.col("fp").alias("y"))
-    near = F.expr(f"bit_count(x ^ y) <= {int(max_bits)}") & ((F.col("s") != 2) | (F.col("a") < F.col("b")))
-    found = left.join(right, (left.key == right.key) & (left.part == right.part) & (left.value == right.value) & near)
-    return found.select("a", "b")
+    left = keyed.where("side <> 1").select("key", "part", "value", F.col("side").alias("s"), "rest", F.col("id").alias("a"), F.col("fp").alias("x"))
+    right = keyed.where("side <> 0").select("key", "part", "value", F.col("rest").alias("their"), F.col("id").alias("b"), F.col("fp").alias("y"))
+    near = (
+        F.expr(f"bit_count(x ^ y) <= {int(max_bits)}") & ((F.col("s") != 2) | (F.col("a") < F.col("b")))
+        & F.expr(f"key < {33 << 32}L or bit_count(shiftrightunsigned(x ^ y, 32)) > 1")  # in the second half only what the first does not show
+        & F.expr("part < 1 or " + _first_equal("rest", "their"))
+    )
+    return left.join(right, ["key", "part", "value"]).where(near).select("a", "b")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,15 +136,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     component_id is the smallest id reachable over links, the row's own
     included. Texts without words share fingerprint 0 and are linked like any
-    others. Repeated rows share all values. Null ids join their group but never
-    name it, unless no other id is there (then null). Empty table: no rows.
+    others. Nodes are fingerprints, so rows that repeat an id with other texts
+    stand each for itself, and a row with null id links others as any row does;
+    null names a group only if it holds no other id. Repeated rows share all
+    values. Columns of ``docs`` other than the two are ignored, whatever their
+    names. Empty table: no rows.
     """
     base = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select("id", "fp"), "simhash-fp")
-    nodes = cut(base.groupBy("fp").agg(F.min("id").alias("id")), "simhash-nodes")
-    comp = components(links(nodes.where("id is not null")))
-    named = nodes.join(comp, nodes["id"] == comp["node"], "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id")
-    )
+    nodes = cut(base.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    comp = components(links(nodes.select(F.col("fp").alias("id"), "fp")))
+    rooted = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, "root").select("fp", "component_id")
     return base.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
