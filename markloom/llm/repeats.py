@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sums_before
 
 LENGTH = 100
 K = 32
@@ -334,15 +334,30 @@ def _release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(_id, text) with ``doc``: the id where it names one text, else a number for each id and text in the order of ids."""
+    own = F.xxhash64("text")
+    told = rows.groupBy("_id").agg((F.min(own) != F.max(own)).alias("many"))
+    if not told.where("many or _id is null").limit(1).count():
+        return rows.withColumn("doc", F.col("_id").cast("long"))
+    each = rows.select((F.col("_id").isNotNull()).alias("known"), F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("id"), own.alias("own")).distinct()
+    numbers = sums_before(each, ["known", "id", "own"], {"doc": F.lit(1).cast("long")})
+    numbers = cut(numbers.select(F.col("known").alias("_k"), F.col("id").alias("_i"), F.col("own").alias("_o"), "doc"), "repeats-numbers")
+    same = (F.col("_id").isNotNull() == F.col("_k")) & (F.coalesce(F.col("_id").cast("long"), F.lit(0)) == F.col("_i")) & (own == F.col("_o"))
+    return rows.join(numbers, same).select("_id", "text", "doc")
+
+
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary, unless turned off), kept_sha256.
 
     Texts are UTF-8 bytes, null counts as empty. A null id comes before all
-    others. A row repeated whole, id and text, is one text: its copies are
-    treated alike. Rows that share an id with different texts share their
-    spans. Texts under LENGTH bytes keep everything; an empty table gives no rows.
+    others; rows that share an id, or have none, with different texts are texts
+    of their own, in the order of a hash of the text. A row repeated whole, id
+    and text, is one text: its copies are treated alike. Texts under LENGTH
+    bytes keep everything; columns other than the two are ignored, whatever
+    their names; an empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text).alias("text"))
+    base = _numbered(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")))
     spans = repeat_spans(base.select("doc", "text"))
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # at most a text's length
     joined = base.join(per, "doc", "left").select("_id", "text", F.col("spans.start").alias("a"), F.col("spans.end").alias("b"))
