@@ -18,8 +18,10 @@ table and equal vectors spread over blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -122,7 +124,7 @@ class Files:
 def _search(k: int, n_pivots: int):  # noqa: ANN202
     def run(group: pd.DataFrame) -> pd.DataFrame:
         posts, asks = group[group["role"] == 0].sort_values("vec_id"), group[group["role"] == 1]
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "block": pd.Series(dtype="int64")})
         if posts.empty or asks.empty:
             return none
         x, seq, ids = _rows(posts["v"], np.float64), _rows(posts["seq"], np.int16), posts["vec_id"].to_numpy()
@@ -144,7 +146,7 @@ def _search(k: int, n_pivots: int):  # noqa: ANN202
             score = exact_scores(x[best], row)
             top = np.lexsort((ids[best], -score))[:k]
             out.append((np.full(len(top), own), ids[best][top], score[top]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True))).assign(block=posts["block"].iloc[0])
 
     return run
 
@@ -165,15 +167,22 @@ def nearest(
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``query_mod``.
 
     Vectors that are null, empty, zero or hold null or non-finite components,
-    rows with null id, and vectors of another than the most frequent dimension
-    take no part. Ties go to the smaller id; of repeated ids the best score
-    counts. A query never finds its own id. Without vectors there are no rows.
+    and rows with null id, take no part. Vectors of different dimension have no
+    inner product: each dimension is searched by itself. Ties go to the smaller
+    id; of repeated ids the best score counts. A query never finds its own id.
+    Columns other than the two are ignored, whatever their names. Without
+    vectors there are no rows.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast(T.ArrayType(T.DoubleType())).alias("v"))
     base = base.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    dim = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dim is not None:
-        base = base.where(F.size("v") == dim["d"])
+    size = F.size("v")
+    ends = base.agg(F.min(size).alias("least"), F.max(size).alias("most")).first()
+    if ends["least"] != ends["most"]:
+        found = [
+            nearest(base.where(size == r["d"]), k, query_mod, "vec_id", "v", block_rows, query_rows)
+            for r in base.select(size.alias("d")).distinct().orderBy("d").collect()  # as many as there are dimensions
+        ]
+        return _best(reduce(DataFrame.unionByName, found).select("query_id", "vec_id", "score", F.lit(0).alias("lot")), k)
     len2 = F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)
     valid = base.withColumn("len2", len2)
     asked = (F.col("vec_id") % query_mod == 0).cast("long")
@@ -183,12 +192,17 @@ def nearest(
     blocks, chunks = -(-stats["n"] // block_rows), -(-stats["queries"] // query_rows)
     pivots = _pivots(valid, stats["longest"], stats["n"])
     routed = _route(valid, pivots, query_mod, blocks, chunks)
-    found = routed.groupBy("block", "chunk").applyInPandas(_search(k, len(pivots.points)), "query_id long, vec_id long, score double")
-    # the k best of each query: at most blocks x k rows meet
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    top = best.groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("top")
-    )
+    found = routed.groupBy("block", "chunk").applyInPandas(_search(k, len(pivots.points)), "query_id long, vec_id long, score double, block long")
+    return _best(found.withColumn("lot", F.col("block") % (math.isqrt(blocks) + 1)), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank: lots of blocks first, so that neither step's buffers grow with the table."""
+    best = found.groupBy("query_id", "lot", "vec_id").agg(F.max("score").alias("score"))
+    own = F.struct((-F.col("score")).alias("s"), "vec_id", "score")
+    lots = best.groupBy("query_id", "lot").agg(F.slice(F.array_sort(F.collect_list(own)), 1, k).alias("some"))
+    rows = lots.select("query_id", F.inline("some")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    top = rows.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(own)), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("pos", "t")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score")
     )
