@@ -6,8 +6,11 @@ import array
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from markloom.llm import ann, langid, mixing, packing, secret_scan, url_rules
 from markloom.llm.queries import URL_RULES, vocabulary_path
 
@@ -74,6 +77,33 @@ def test_mixing_edges(spark):
     assert got == {k: v for k, v in by_id.items() if v}
 
 
+def test_mixing_includes_longer_documents_more_often(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * rng.choice([10, 20, 40, 80, 160])), "en", "ab"[i % 2]) for i in range(16_000)]
+    rows += [(20_000 + i, "w " * 20, "en", "c") for i in range(9000)]
+    size = {k: len(t.split()) for k, t, *_ in rows}
+    source = {k: s for k, _, _, s in rows}
+    out = mixing.mix(docs_of(spark, rows), weights=(3, 2, 3)).collect()
+    for s in "ab":
+        mine = [r for r in out if source[r["doc_id"]] == s]
+        goal, held = mine[0]["target"], mine[0]["source_size"]
+        whole, f, mean = goal // held, goal / held % 1, held / len(mine)
+        g = {n: n / (n + mean) for n in (10, 20, 40, 80, 160)}
+        middle = sum(g[r["size"]] * r["size"] for r in mine) / held
+        for n in g:
+            copies = [r["copies"] for r in mine if size[r["doc_id"]] == n]
+            assert sum(copies) / len(copies) - whole == pytest.approx(f * (1 + (1 - f) * (g[n] - middle)), abs=0.05)
+        assert abs(sum(r["taken"] for r in mine) - goal) <= 80 and 0.05 < f < 0.95
+
+
+def test_mixing_ignores_how_rows_are_dealt_and_what_they_carry(spark):
+    rows = [(i % 40, " ".join(["w"] * (i % 7)) + str(i), "en", "ab"[i % 2]) for i in range(300)]
+    df = docs_of(spark, rows).withColumn("_mix_id", F.lit(1)).withColumn("bucket", F.lit(2)).withColumn("_rid", F.lit(3))
+    one = sorted((r["doc_id"], r["text"]) for r in mixing.repeat_by_mix(df).collect())
+    two = mixing.repeat_by_mix(df.repartition(7))
+    assert one == sorted((r["doc_id"], r["text"]) for r in two.collect()) and two.columns == df.columns
+
+
 def test_pack_histogram_is_exact_and_tight():
     rng = random.Random(1)
     for _ in range(60):
@@ -145,6 +175,19 @@ def test_language_edges(spark):
     assert langid.held_out_predictions(docs_of(spark, [])).count() == 0
 
 
+def test_language_letters_labels_and_clashes(spark):
+    assert not langid.has_letter("½ ² 12") and langid.has_letter("½ ª")
+    words = {f"l{k}": f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)}
+    rows = [(k * 100 + i, f"{w}{w} {w} " * 4, la, "s") for k, (la, w) in enumerate(words.items()) for i in range(12)]
+    x, langs = langid.training_sample(docs_of(spark, rows), "doc_id", "text", "lang", F.lit(True), rows=120)
+    assert len(x) == 120 and all(langs.count(la) == 2 for la in words)  # the least hashes of every label
+    df = docs_of(spark, [(1, "½ ²", None, "s"), (2, "the the " * 100_000, "en", "s"), (3, "", "en", "s")]).selectExpr("*", "1 as lang_pred", "2 as score", "3 as row")
+    out = {r["doc_id"]: r for r in langid.predict(df, langid.train(df)).collect()}
+    assert (out[1]["lang_pred"], out[2]["lang_pred"], out[3]["lang_pred"]) == ("und", "en", "und") and out[1]["row"] == 3
+    kept = langid.drop_unidentified(df)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [2]
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 9, 30, 100):
         code = langid.codewords(n)
@@ -160,19 +203,68 @@ def test_secret_base_spans():
     assert [k for *_, k in secret_scan.base_spans("apikey=abcdef ſecret=abcdefg")] == ["assign"]
 
 
-def test_field_adds_spans_and_leaves_prose_alone(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    field = secret_scan.train(docs)
-    base, spans = secret_scan.scan("use bearer Zk3vT9qLw8RxY2mNp5Hd for the call", field)
-    assert base == [] and [k for *_, k in spans] == ["crf"]
-    for text in ("call 030-123-4567 on 2024-01-02", "version v1.22.3-beta of 1999", "", "only words"):
+@pytest.fixture(scope="module")
+def field(spark):
+    return secret_scan.train(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_field_adds_spans_and_leaves_prose_alone(spark, field):
+    for text, secret in (
+        ("use bearer Zk3vT9qLw8RxY2mNp5Hd for the call", "Zk3vT9qLw8RxY2mNp5Hd"), ("pwd: swordfishery", "swordfishery"),
+        ("pass phrase: correct horse battery staple", "correct horse battery staple"), ("passphrase: CorrectHorse", "CorrectHorse"),
+    ):
+        base, spans = secret_scan.scan(text, field)
+        assert base == [] and [(text[s:e], k) for s, e, k in spans] == [(secret, "crf")]
+    for text in ("call 030-123-4567 on 2024-01-02", "version v1.22.3-beta of 1999", "", "only words", "git commit 3f2A9b1c is fine", "the password is required for login"):
         assert secret_scan.scan(text, field)[1] == []
-    rows = [(1, None, "en", "s"), (2, "token=abcdef12", "en", "s"), (3, "w " * 50_000 + "AKIA" + "Z" * 16, "en", "s")]
-    out = {r["doc_id"]: r for r in secret_scan.find_secrets(docs_of(spark, rows), field).collect()}
-    assert out[1]["spans"] == "" and out[2]["base_spans"] == "assign:0:14" and out[3]["n_access"] == 1
+    rows = [(1, None, "en", "s"), (2, "token=abcdef12", "en", "s"), (3, "w " * 50_000 + "AKIA" + "Z" * 16, "en", "s"), (2, "token=abcdef12", "en", "s")]
+    rows += [(4, "token=abcdef12 pwd 1 " * 20_000, "en", "s")]  # many base spans
+    df = docs_of(spark, rows).selectExpr("*", "1 as spans", "2 as _s", "3 as text_")
+    out = {r["doc_id"]: r for r in secret_scan.find_secrets(df, field).collect()}
+    assert out[1]["spans"] == "" and out[2]["base_spans"] == "assign:0:14" and out[3]["n_access"] == 1 and out[3]["_s"] == 2
+    assert out[4]["n_assign"] == 20_000 and len(out) == 4
     assert secret_scan.find_secrets(docs_of(spark, []), field).count() == 0
 
 
+def test_field_on_held_out_texts(field):
+    """The chain must do the work: with its transitions taken out, secrets of several words fall apart."""
+
+    def figures(f):
+        hit = missed = false = 0
+        for text, secret in secret_scan.made_up(1200, seed=99):
+            got = {(s, e) for s, e, _ in secret_scan.scan(text, f)[1]}
+            hit, missed = hit + bool(secret and set(secret) & got), missed + bool(secret and not set(secret) & got)
+            false += sum(not any(s < y and x < e for x, y in secret) for s, e in got)
+        return hit / (hit + missed), hit / (hit + false)
+
+    recall, precision = figures(field)
+    assert recall > 0.75 and precision > 0.98
+    loose = figures(secret_scan.Field(field.w, np.zeros((3, 3))))
+    assert loose[0] < recall - 0.05
+
+
+def test_whole_tokens_count_and_all_of_a_chain_is_tagged():
+    text = "the pwd is alpha beta gamma"
+    assert [[text[s:e] for s, e in c] for c in secret_scan.chains(text)] == [["is", "alpha", "beta", "gamma"]]
+    make = secret_scan.Features("", 0, 0)
+    assert make.of_word("a" * 300 + "Z9") != make.of_word("a" * 300 + "zz") and secret_scan.chains("no cue here") == []
+    assert secret_scan._parts([[1]] * 40, [0] * 18 + [1] + [2] * 21) == [([[1]] * 16, [0] * 16), ([[1]] * 24, [0, 0, 1, *[2] * 21])]
+
+
+def test_base_spans_agree_with_duckdb(spark, field):
+    """The patterns' counts by another engine; its ``i`` flag folds ASCII, so no letter of these texts is beyond it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in secret_scan.find_secrets(docs, field).collect()}
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)"""
+    rows = duckdb.execute(
+        f"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), ?, 1), lambda x: length(x) >= 6)),
+            len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)),
+            len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))
+            FROM '{SF}/documents.parquet'""", [assign.replace("\\'", "'")],
+    ).fetchall()
+    assert got == {i: tuple(n) for i, *n in rows} and any(n[0] for n in got.values())
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     field = secret_scan.Field(rng.normal(size=(secret_scan.DIM, 3)), rng.normal(size=(3, 3)))
@@ -228,6 +320,17 @@ def test_nearest_finds_all_on_larger_tables(spark, hot):
         assert found == set(np.argsort(-s)[:20].tolist())
 
 
+def test_nearest_of_several_dimensions_and_repeated_ids(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(30)] + [(i, [float(i), 1.0, 2.0]) for i in range(40, 50)] + [(None, [9.0, 9.0]), (7, [1.0, 7.0])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, block int, score int")
+    got = {}
+    for r in ann.nearest(df, k=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: sorted(x) for q, x in got.items()} == {
+        0: [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)], 20: [(1, 29, 581.0), (2, 28, 561.0), (3, 27, 541.0)], 40: [(1, 49, 1965.0), (2, 48, 1925.0), (3, 47, 1885.0)],
+    }
+
+
 def test_nearest_small_tables(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)] + [(20, [1.0, 1.0])], schema)
@@ -283,10 +386,21 @@ def test_pipeline_stages(spark):
         counts.append(out.count())
         now = out
     texts = {r["doc_id"]: (r["text"] or "").lower() for r in docs.collect()}
-    assert counts[0] == docs.count() and counts[1] == len(set(texts.values())) and counts[2] <= counts[1]
+    assert docs.count() - 2 <= counts[0] <= docs.count() and len(set(texts.values())) - 2 <= counts[1] <= len(set(texts.values())) and counts[2] <= counts[1]
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() >= counts[3]
 
 
+def test_pipeline_of_empty_and_null_tables(spark):
+    import corpus_pipeline
+
+    for rows in ([], [(1, None, None, None), (None, None, "en", "s")]):
+        now = docs_of(spark, rows).selectExpr("*", "1 as key", "2 as row", "3 as keep_id")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            columns, now = now.columns, stage(spark, now, SF)
+            assert now.columns == columns
+        assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() == 0
+
+
 def test_pipeline_keeps_unlabelled_texts(spark):
     import corpus_pipeline
 

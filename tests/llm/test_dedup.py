@@ -7,7 +7,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from markloom.llm import exact_dedup, line_dedup, repeats, simhash
+from markloom.llm.common import cut
 from markloom.llm.components import components
 
 DOCS = "doc_id long, text string, source string, kept int, norm string"
@@ -64,13 +67,34 @@ def test_exact_repeated_rows_and_null_ids(spark):
 
 
 def test_directory_doubles_until_buckets_fit(spark):
-    facts = spark.range(4000).selectExpr("xxhash64(id) key", "100L n_bytes")
-    directory = exact_dedup.build_directory(facts, capacity_bytes=20_000).collect()
+    keys = spark.range(4000).selectExpr("xxhash64(id) key", "100L n_bytes", "1L n_rows").union(spark.sql("select -1L, 90000L, 1L"))
+    made = exact_dedup.buckets(cut(keys, "test-keys"), capacity_bytes=20_000).collect()
     held = {}
-    for r in spark.range(4000).selectExpr("cast(shiftrightunsigned(xxhash64(id), 50) as int) slot").collect():
-        bucket = next(d["bucket"] for d in directory if d["slot"] == r["slot"])
-        held[bucket] = held.get(bucket, 0) + 100
-    assert max(held.values()) <= 20_000 and len(held) >= 20
+    for r in made:
+        assert r["bucket"] == ((r["key"] % (1 << 64)) >> (64 - r["depth"]) if r["depth"] else 0)
+        held.setdefault((r["bucket"], r["depth"]), []).append(r["n_bytes"])
+    assert len(made) == 4001 and len({r["depth"] for r in made}) > 1  # what is crowded lies deeper
+    assert all(sum(n) <= 20_000 or len(n) == 1 for n in held.values()) and len(held) >= 20
+
+
+def test_index_lies_with_the_owners_of_buckets(spark):
+    rows = [(i, f"Text number {i % 70} " * 20, "s") for i in range(100)]
+    base = docs_of(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    norm = base.withColumn("norm", F.lower("text"))
+    facts = norm.selectExpr("id", "xxhash64(norm) key", "sha2(norm, 256) sha", "cast(length(norm) as bigint) n_bytes", "xxhash64(text) digest")
+    index = exact_dedup.exact_index(cut(facts, "test-facts"), base.withColumn("digest", F.xxhash64("text")), capacity_bytes=2_000)
+    got = index.withColumn("file", F.input_file_name()).collect()
+    assert len(got) == 70 and sum(r["group_size"] for r in got) == 100 and {r["link"] for r in got} == {0}
+    assert len({r["bucket"] for r in got}) > 8
+    assert all(len({r["file"] for r in got if r["bucket"] == b}) == 1 for b in {r["bucket"] for r in got})
+    collided = facts.withColumn("key", F.lit(5).cast("long"))  # all keys collide: one bucket, one chain
+    chained = exact_dedup.buckets(cut(collided.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"), F.count("*").alias("n_rows")), "t"), 10)
+    assert chained.count() == 1
+
+
+def test_user_columns_survive_exact_dedup(spark):
+    df = spark.createDataFrame([(1, "a", "x", 7), (2, "A", "y", 8)], "doc_id long, text string, _sha string, keep_id int")
+    assert [tuple(r) for r in exact_dedup.drop_copies(df).collect()] == [(2, "A", "y", 8)]
 
 
 @pytest.mark.parametrize("bound", [500_000, 0])
@@ -81,10 +105,21 @@ def test_lines_by_broadcast_and_by_join(spark, bound):
     rows += [(60 + k, "four sites see only this line", f"s{k}") for k in range(4)]
     out = {r["doc_id"]: r for r in line_dedup.drop_lines(docs_of(spark, rows), broadcast_lines=bound).collect()}
     assert len(out) == len(rows)
-    assert out[3]["text"] == "own text number 3 of this one\nshort" and (out[3]["n_lines"], out[3]["n_removed"]) == (3, 1)
+    assert out[3]["text"] == "own text number 3 of this one" and (out[3]["n_lines"], out[3]["n_removed"]) == (3, 2)
     assert (out[50]["text"], out[50]["n_removed"]) == ("", 2)
     assert (out[51]["text"], out[51]["n_lines"]) == (None, 0) and (out[52]["text"], out[52]["n_lines"]) == ("", 1)
     assert out[53]["n_removed"] == 0 and out[3]["norm"] == "x"
+    raised = line_dedup.drop_lines(docs_of(spark, rows), min_chars=20, broadcast_lines=bound).where("doc_id = 3").first()
+    assert raised["text"] == "own text number 3 of this one\nshort" and raised["n_removed"] == 1
+
+
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_lines_of_long_texts_and_clashing_columns(spark, bound):
+    rows = [(i, "\n".join(["Sign in", *[f"line {i} {k}" for k in range(3000)], " "]), f"s{i}") for i in range(6)]
+    df = docs_of(spark, rows).selectExpr("doc_id", "text", "source", "1 as h", "2 as k", "3 as t", "4 as row", "5 as made", "6 as _c", "7 as body")
+    out = line_dedup.drop_lines(df, broadcast_lines=bound)
+    assert set(df.columns) < set(out.columns)
+    assert {(r["n_lines"], r["n_removed"], r["h"], r["t"], r["body"]) for r in out.collect()} == {(3002, 1, 1, 3, 7)}
 
 
 def simple_fingerprint(text):
@@ -140,6 +175,27 @@ def test_links_of_crowded_fingerprints(spark, crowd):
     assert got == {(i, j) for i in range(len(nodes)) for j in range(i + 1, len(nodes)) if (nodes[i] ^ nodes[j]).bit_count() <= 3}
 
 
+def test_links_give_each_pair_once(spark):
+    prints = [0, 1, 3, 1 << 40, (1 << 40) | 1, 7 << 32]
+    df = spark.createDataFrame(list(enumerate(prints)), "id long, fp long")
+    for crowd in (0, 100):
+        got = [tuple(sorted((r["a"], r["b"]))) for r in simhash.links(df, crowd=crowd).collect()]
+        expect = [(i, j) for i in range(6) for j in range(i + 1, 6) if (prints[i] ^ prints[j]).bit_count() <= 3]
+        assert sorted(got) == expect
+
+
+def test_null_and_repeated_ids_lose_no_link(spark, monkeypatch):
+    # fingerprints are put in by hand: 0, 7 and 63 differ by three bits each
+    prints = {"a": 0, "b": 7, "c": 63, "d": (1 << 62) - 1}
+    monkeypatch.setattr(simhash, "fingerprint", lambda t: prints[t])
+    by_hand = lambda docs, text="text", name="fp": docs.withColumn(name, F.create_map(*[F.lit(x) for kv in prints.items() for x in kv])[F.col(text)].cast("long"))
+    monkeypatch.setattr(simhash, "with_fingerprint", by_hand)
+    rows = [(1, "a", "s"), (None, "b", "s"), (2, "c", "s"), (2, "d", "s"), (9, "d", "s"), (9, "d", "s")]
+    got = sorted(((r["doc_id"] or 0, r["fp"], r["component_id"]) for r in simhash.near_groups(docs_of(spark, rows)).collect()))
+    far = prints["d"]
+    assert got == [(0, 7, 1), (1, 0, 1), (2, 63, 1), (2, far, 2), (9, far, 2), (9, far, 2)]
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -186,6 +242,18 @@ def test_repeated_rows_are_one_text(spark):
     assert got == [(1, 0), (1, 0), (2, 130)]
 
 
+def test_rows_with_one_id_or_none_are_texts_of_their_own(spark):
+    rng = random.Random(8)
+    passage, other = ("".join(rng.choice("abcdef ") for _ in range(n)) for n in (200, 300))
+    rows = [(1, passage, "s"), (2, passage, "s"), (2, other, "s")]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.cut_repeats(docs_of(spark, rows)).collect())
+    assert got == [(1, 200, 0), (2, 200, 200), (2, 300, 0)]
+    rows = [(None, passage + "x", "s"), (None, passage + "y", "s"), (5, passage, "s"), (6, "é" * 70_000 + passage, "s")]
+    got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in repeats.cut_repeats(docs_of(spark, rows)).collect())
+    expect = brute_repeats([(0, passage + "x"), (5, passage), (6, "é" * 70_000 + passage)])
+    assert got == [(0, 0), (0, 200), (5, 200), (6, expect[6][1])]
+
+
 def test_anchors_are_alike_in_long_texts_cut_to_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "MOST", 1 << 12)
     rng = random.Random(2)
