@@ -7,7 +7,6 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from markloom.llm import exact_dedup, langid, mixing, near_copies, packing
 from markloom.llm.common import cut
@@ -15,8 +14,8 @@ from markloom.llm.queries import vocabulary_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: null text, or no letter. Labels play no part."""
-    return docs.where(langid.lettered(F.col("text")))
+    """Drop documents that the language decoder rejects: in no language, or between two with neither likely."""
+    return langid.drop_unidentified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
