@@ -253,14 +253,14 @@ def test_whole_tokens_count_and_all_of_a_chain_is_tagged():
 
 def test_base_spans_agree_with_duckdb(spark, field):
     """The patterns' counts by another engine; its ``i`` flag folds ASCII, so no letter of these texts is beyond it."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in secret_scan.find_secrets(docs, field).collect()}
     assign = r"""(?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)"""
     rows = duckdb.execute(
         f"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), ?, 1), lambda x: length(x) >= 6)),
             len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)),
             len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))
-            FROM '{SF}/documents.parquet'""", [assign.replace("\\'", "'")],
+            FROM '/root/testdata/sf0.01/documents.parquet'""", [assign.replace("\\'", "'")],
     ).fetchall()
     assert got == {i: tuple(n) for i, *n in rows} and any(n[0] for n in got.values())
 
