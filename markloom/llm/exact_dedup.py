@@ -23,6 +23,8 @@ from .common import ascii_lower, cut, tag_rows
 CAPACITY_BYTES = 4 << 20
 #: Key bits: beyond them no bucket can be split.
 KEY_BITS = 64
+#: Up to so many repeated keys (8 bytes each) are broadcast to the scan of the texts; beyond, all texts are grouped.
+BROADCAST_KEYS = 1_000_000
 
 
 def buckets(keys: DataFrame, capacity_bytes: int = CAPACITY_BYTES) -> DataFrame:
@@ -49,7 +51,9 @@ def buckets(keys: DataFrame, capacity_bytes: int = CAPACITY_BYTES) -> DataFrame:
         depth += 1
 
 
-def exact_index(facts: DataFrame, base: DataFrame, capacity_bytes: int = CAPACITY_BYTES) -> DataFrame:
+def exact_index(
+    facts: DataFrame, base: DataFrame, capacity_bytes: int = CAPACITY_BYTES, broadcast_keys: int = BROADCAST_KEYS
+) -> DataFrame:
     """The index on shared files: bucket, depth, key, link, sha, group_size, keeper; one entry for each distinct text.
 
     ``link`` is the entry's place in the chain of its key, 0 unless keys collide.
@@ -58,10 +62,11 @@ def exact_index(facts: DataFrame, base: DataFrame, capacity_bytes: int = CAPACIT
     owned = buckets(cut(keys, "dedup-keys"), capacity_bytes)
     entry = ("bucket", "depth", "key", "sha", "group_size", "keeper")
     met = owned.where("n_rows > 1").select("bucket", "depth", "key")
-    norm = ascii_lower(F.col("text"))
+    texts = base.withColumn("norm", ascii_lower(F.col("text"))).withColumn("key", F.xxhash64("norm"))
+    if met.count() <= broadcast_keys:
+        texts = texts.join(F.broadcast(met.select("key")), "key", "left_semi")
     same = (
-        base.withColumn("norm", norm).withColumn("key", F.xxhash64("norm")).join(met.select("key"), "key", "left_semi")
-        .groupBy("key", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "digest")).alias("keeper"))
+        texts.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "digest")).alias("keeper"))
         .select("key", F.sha2("norm", 256).alias("sha"), "group_size", "keeper")
     )
     alone = facts.join(owned.where("n_rows = 1").select("bucket", "depth", "key"), "key").select(

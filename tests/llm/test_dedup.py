@@ -84,6 +84,8 @@ def test_index_lies_with_the_owners_of_buckets(spark):
     facts = norm.selectExpr("id", "xxhash64(norm) key", "sha2(norm, 256) sha", "cast(length(norm) as bigint) n_bytes", "xxhash64(text) digest")
     index = exact_dedup.exact_index(cut(facts, "test-facts"), base.withColumn("digest", F.xxhash64("text")), capacity_bytes=2_000)
     got = index.withColumn("file", F.input_file_name()).collect()
+    other = exact_dedup.exact_index(cut(facts, "test-facts"), base.withColumn("digest", F.xxhash64("text")), 2_000, broadcast_keys=0)
+    assert sorted((r["key"], r["group_size"], r["keeper"]) for r in other.collect()) == sorted((r["key"], r["group_size"], r["keeper"]) for r in got)
     assert len(got) == 70 and sum(r["group_size"] for r in got) == 100 and {r["link"] for r in got} == {0}
     assert len({r["bucket"] for r in got}) > 8
     assert all(len({r["file"] for r in got if r["bucket"] == b}) == 1 for b in {r["bucket"] for r in got})
