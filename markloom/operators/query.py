@@ -90,7 +90,13 @@ def serialize(events: Column, node_id: Column | None = None) -> Column:
 
 
 def walk(df: DataFrame, *keys: str, skip: Column | None = None) -> DataFrame:
-    """Nodes in document order; where ``skip`` holds, the node stays but what is below it goes."""
+    """Nodes in document order; where ``skip`` holds, the node stays but what is below it goes.
+
+    ``keys`` name the document; without them each row of ``df`` is a document,
+    told by a column ``doc``.
+    """
+    if not keys:
+        df, keys = df.withColumn("doc", F.monotonically_increasing_id()), ("doc",)
     rows = nodes(df, *keys)
     if skip is None:
         return rows
@@ -100,7 +106,9 @@ def walk(df: DataFrame, *keys: str, skip: Column | None = None) -> DataFrame:
 
 
 def descendants(node_rows: DataFrame, ancestors: DataFrame, *keys: str) -> DataFrame:
-    """Pairs (ancestor, descendant) by interval containment within the same keys."""
+    """Pairs (ancestor, descendant) by interval containment within the same keys, which name the document."""
+    if not keys:
+        raise ValueError("name the columns that tell documents apart: node numbers are counted within a document")
     a = ancestors.select(*keys, F.col("node_id").alias("ancestor_id"), F.col("seq").alias("_a"), F.col("exit_seq").alias("_b"))
     return node_rows.join(a, list(keys)).where((F.col("seq") > F.col("_a")) & (F.col("seq") < F.col("_b"))).drop("_a", "_b")
 

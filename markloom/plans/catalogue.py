@@ -42,7 +42,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="markloom-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or "file://" + tempfile.mkdtemp(prefix="markloom-")
 
 
 _SCHEME = "lower(regexp_extract(u, '^([A-Za-z0-9+.-]+):', 1))"

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from markloom.operators.sanitize import Sanitizer, removals
 
@@ -42,17 +42,25 @@ def session_counts(stream: DataFrame, time: str, key: str, gap: str, late: str =
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key).count()
 
 
-def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, folder: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Process what is there now into a Parquet table under ``folder`` and give it back as a batch table.
 
-    The last result of each window counts in update and complete mode.
+    In update mode the last result of each group counts: batches are kept apart
+    by number, and rows are told by ``keys``, by default all columns but ``count``.
+    In complete mode the last batch is the result.
     """
     spark, out = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
     else:
-        query = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/data")).option(
-            "checkpointLocation", f"{out}/state"
-        )
+        write = lambda df, n: df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/data/{n}")
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state")
     query.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{out}/data")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).option("recursiveFileLookup", "true").parquet(f"{out}/data")
+    if mode == "complete":
+        return rows.where(F.col("_batch") == (rows.agg(F.max("_batch")).first()[0] or 0)).select(*stream.columns)
+    names = list(keys or [c for c in stream.columns if c != "count"])
+    last = rows.groupBy(*names).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("_last"))
+    return last.select("_last.*")

@@ -95,3 +95,31 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["page_id", "html", "n_removed"] and df.count() == 50
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_update_mode_keeps_the_last_result_of_every_window(spark, tmp_path):
+    from markloom.streaming import pages as streams
+
+    for k in range(3):
+        rows = [(f"2024-01-01 0{k}:00:00", "a"), (f"2024-01-01 0{max(0, k - 1)}:10:00", "a")]
+        spark.createDataFrame(rows, "t string, k string").selectExpr("cast(t as timestamp) t", "k").write.parquet(f"{tmp_path}/in/{k}")
+    counts = {}
+    for mode in ("update", "complete"):
+        stream = streams.read_stream(spark, f"{tmp_path}/in/*", "t timestamp, k string", files_per_trigger=1)
+        out = streams.run_once(streams.sliding_counts(stream, "t", "k", "1 hour", late="1 day"), str(tmp_path / mode), mode)
+        counts[mode] = sorted((r["window"]["start"].hour, r["count"]) for r in out.collect())
+    assert counts["update"] == counts["complete"] and [n for _, n in counts["update"]] == [3, 2, 1]
+
+
+def test_walk_without_keys_keeps_documents_apart(spark):
+    import pytest as _pytest
+    from markloom.operators import query as Q
+    from markloom.operators.parse import with_events
+
+    df = spark.createDataFrame([("<nav>a</nav><p>b",), ("<nav>c</nav><p>d",)], "html string").coalesce(1)
+    skip = Q.F.coalesce(Q.F.col("name") == "nav", Q.F.lit(False))
+    one = Q.walk(with_events(df.limit(1)), skip=skip).count()
+    rows = Q.walk(with_events(df), skip=skip)
+    assert rows.count() == 2 * one and rows.select("doc").distinct().count() == 2
+    with _pytest.raises(ValueError):
+        Q.descendants(rows, rows)
