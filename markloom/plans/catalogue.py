@@ -14,6 +14,7 @@ from markloom.operators import query as Q
 from markloom.operators import sanitize as S
 from markloom.operators.legacy import legacy_sanitize
 from markloom.operators.parse import attributes, lenient_events, nodes, tokenize, with_events
+from markloom.plans import dirty
 from markloom.streaming import pages as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,26 +145,17 @@ def sanitize_none_pages(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", S.Sanitizer("none").sanitize(F.col("html")).alias("html"))
 
 
-_COUNTED = ("a", "article", "br", "div", "footer", "h1", "li", "meta", "nav", "script", "style", "title", "ul")
-_COUNTS = """
-    SELECT name, reason, sum(n)::BIGINT AS n FROM (
-        SELECT t.name, CASE WHEN t.name IN ('script', 'style', 'title') THEN 'unsafe-element' ELSE 'not-allowed' END AS reason,
-               len(regexp_extract_all(html, '<' || t.name || '[ >]')) AS n
-        FROM pages, (SELECT unnest([{names}]) AS name) t) GROUP BY ALL HAVING sum(n) > 0""".format(
-    names=", ".join(f"'{n}'" for n in _COUNTED)
-)
-
-
-@query(_COUNTS)
+@query()
 def removal_counts_none(spark, sf_dir):
+    """All removals by name and reason; implied and renewed elements are beyond SQL, tests count them one by one."""
     rows = S.removals(pages(spark, sf_dir), S.Sanitizer("none"), keys=("page_id",))
-    return rows.where(F.col("name").isin(*_COUNTED)).groupBy("name", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("name", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT reason, name, sum(n)::BIGINT AS n FROM ({_COUNTS}) GROUP BY ROLLUP (reason, name)")
+@query()
 def removals_rollup(spark, sf_dir):
     rows = with_events(pages(spark, sf_dir)).select(F.inline(S.Sanitizer("none").removed_events(F.col("events"))))
-    return rows.where(F.col("name").isin(*_COUNTED)).rollup("reason", "name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.rollup("reason", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 _RULES = "SELECT * FROM (VALUES " + ", ".join(
@@ -350,3 +342,7 @@ def stream_event_windows(spark, sf_dir):
     stream = streams.read_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
     made = streams.run_once(streams.sliding_counts(stream, "ts", "event_type", "1 hour"), shared_folder(spark), "complete")
     return made.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "count")
+
+
+QUERIES |= dirty.QUERIES
+ORACLE_SQL |= dirty.ORACLE_SQL
