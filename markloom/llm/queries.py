@@ -97,6 +97,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id)""",
+    # brute force: every query against every row; tables without null components
+    "op9_permutation_index": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
+        u AS (SELECT * FROM v WHERE isfinite(list_inner_product(e, e)) AND list_inner_product(e, e) > 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+              FROM u q JOIN u c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+        r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op10_url_rules": """
         WITH r(rule, host_rule, path_rule, verdict) AS (VALUES
             ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
