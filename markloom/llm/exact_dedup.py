@@ -10,7 +10,8 @@ texts of the other keys are grouped by their bytes, copies being combined before
 the exchange, so a text that a third of all rows share costs each task one row.
 What is left, one entry for each distinct text, goes to the owner task of its
 bucket, which chains the entries of a key and writes the bucket. Rows then meet
-the index by key and digest in a join whose skewed side Spark splits.
+the entries of repeated texts by key and digest: by broadcast while these are
+few, else in a join whose skewed side Spark splits.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ CAPACITY_BYTES = 4 << 20
 KEY_BITS = 64
 #: Up to so many repeated keys (8 bytes each) are broadcast to the scan of the texts; beyond, all texts are grouped.
 BROADCAST_KEYS = 1_000_000
+#: Up to so many entries of repeated texts (about 150 bytes each) are broadcast to the rows; more are joined.
+BROADCAST_ENTRIES = 200_000
 
 
 def buckets(keys: DataFrame, capacity_bytes: int = CAPACITY_BYTES) -> DataFrame:
@@ -98,17 +101,17 @@ def exact_groups(
     )
     facts = cut(facts, "dedup-facts")
     index = exact_index(facts, base.withColumn("digest", F.xxhash64("text")), capacity_bytes)
-    found = cut(
-        tag_rows(facts).join(index.select("key", "sha", "group_size", "keeper"), ["key", "sha"])
-        .withColumn("lead", F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("digest") == F.col("keeper.digest"))),
-        "dedup-found",
-    )
+    several = index.where("group_size > 1").select("key", "sha", "group_size", "keeper")
+    hint = F.broadcast if several.count() <= BROADCAST_ENTRIES else lambda df: df
+    # a row that meets no entry is alone with its text
+    lead = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("digest") == F.col("keeper.digest"))
+    found = cut(tag_rows(facts).join(hint(several), ["key", "sha"], "left").withColumn("lead", F.col("keeper").isNull() | lead), "dedup-found")
     # rows that repeat id and text of the keeper: the one of the least row number stays
     one = found.where("lead and group_size > 1").groupBy("key", "sha").agg(F.min("_rid").alias("_one"))
-    return found.join(one, ["key", "sha"], "left").select(
+    return found.join(hint(one), ["key", "sha"], "left").select(
         F.col("id").alias(id_col),
-        F.col("keeper.id").alias("keep_id"),
-        "group_size",
+        F.when(F.col("keeper").isNull(), F.col("id")).otherwise(F.col("keeper.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("lead") & F.coalesce(F.col("_rid") == F.col("_one"), F.lit(True))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
