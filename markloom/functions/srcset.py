@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 from .facts import SPACE, SPACE_CLASS
@@ -21,25 +22,21 @@ class Candidate:
     d: float | None = None
 
 
+#: By unit: how the number is written, what else may not stand beside it, and whether zero counts.
+_UNITS = {"w": (_INT, "wd", False), "x": (_FLOAT, "whd", True), "h": (_INT, "hd", False)}
+_FIELD = {"w": "w", "x": "d", "h": "h"}
+
+
 def _described(url: str, descriptors: list[str]) -> Candidate | None:
-    """The candidate, or None if a descriptor is wrong or clashes with another."""
+    """The candidate, or None if a descriptor is wrong or clashes with another; a warning tells of that once a process."""
     found = Candidate(url)
     for text in descriptors:
-        value, unit = text[:-1], text[-1:]
-        if unit == "w" and _INT.match(value):
-            if found.w is not None or found.d is not None or int(value) == 0:
-                return None
-            found.w = int(value)
-        elif unit == "x" and _FLOAT.match(value):
-            if found.w is not None or found.h is not None or found.d is not None or float(value) < 0:
-                return None
-            found.d = float(value)
-        elif unit == "h" and _INT.match(value):
-            if found.h is not None or found.d is not None or int(value) == 0:
-                return None
-            found.h = int(value)
-        else:
+        pattern, clashes, zero = _UNITS.get(text[-1:], (None, "", False))
+        number = float(text[:-1]) if pattern is not None and pattern.match(text[:-1]) else -1.0
+        if number < 0 or (not number and not zero) or any(getattr(found, other) is not None for other in clashes):
+            warnings.warn("an image candidate has a wrong descriptor and is left out", stacklevel=2)
             return None
+        setattr(found, _FIELD[text[-1]], int(text[:-1]) if pattern is _INT else number)
     return found
 
 

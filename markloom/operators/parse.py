@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from markloom.functions import render, tokens, tree
 from markloom.functions.lenient import Lenient
+from markloom.functions.mappings import adapted
 
 EVENTS = (
     "array<struct<seq:int,kind:string,node_id:int,parent_id:int,depth:int,exit_seq:int,name:string,ns:string,parent_name:string,"
@@ -67,8 +68,13 @@ def lenient_tree(html: str) -> tree.Node:
     return handler.root
 
 
-#: Parsers by name; any callable from str to a document node may be registered.
-PARSERS: dict[str, Callable[[str], tree.Node]] = {"browser": tree.build, "lenient": lenient_tree}
+#: Parsers by name; any callable from str to a document node may be registered. A cluster has no DOM, so ``dom`` is the browser's parse.
+PARSERS: dict[str, Callable[[str], tree.Node]] = {"browser": tree.build, "dom": tree.build, "lenient": lenient_tree}
+
+
+def register_parser(name: str, parse: Callable[[str], object], mappings: bool = False) -> None:
+    """Register a parser by name; with ``mappings`` it gives nested mappings of nodes instead of a document node."""
+    PARSERS[name] = adapted(parse) if mappings else parse
 
 
 def parser_of(parser: str | Callable | None) -> Callable[[str], tree.Node]:

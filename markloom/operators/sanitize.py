@@ -119,17 +119,17 @@ def policy_union(table: DataFrame, *names: str) -> DataFrame:
 
 def policy_deny(rules: DataFrame, denied: DataFrame) -> DataFrame:
     """Rules without denied tags; ``*`` stays unless it is denied by name."""
-    return rules.join(F.broadcast(denied), "tag", "left_anti")
+    return rules.join(denied, "tag", "left_anti")
 
 
 def kept_attributes(df: DataFrame, table: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Attributes of ``df.events`` that a stored policy lists, by a join with its (small, fixed) table."""
+    """Attributes of ``df.events`` that a stored policy lists, by a join with its table; the planner broadcasts it if its size allows."""
     rules = table.where(F.col("policy") == name).where("attr is not null").select("tag", F.col("attr").alias("name"))
     rows = attributes(nodes(df, *keys).where("kind = 'open'"), *keys)
     own = rules.where("tag <> '*'").withColumn("_own", F.lit(True))
     star = rules.where("tag = '*'").select("name").distinct().withColumn("_star", F.lit(True))
     listed = table.where(F.col("policy") == name).where("tag <> '*'").select("tag").distinct()
-    found = rows.join(F.broadcast(listed), "tag", "left_semi").join(F.broadcast(own), ["tag", "name"], "left").join(F.broadcast(star), "name", "left")
+    found = rows.join(listed, "tag", "left_semi").join(own, ["tag", "name"], "left").join(star, "name", "left")
     return found.where("_own or _star").drop("_own", "_star")
 
 
@@ -137,4 +137,4 @@ def elements_by_policy(df: DataFrame, table: DataFrame, name: str, *keys: str) -
     """Elements of ``df.events`` with whether the policy lists their tag."""
     listed = table.where(F.col("policy") == name).where("tag <> '*'").select("tag").distinct().withColumn("listed", F.lit(True))
     rows = nodes(df, *keys).where("kind = 'open'").select(*keys, "seq", F.col("name").alias("tag"))
-    return rows.join(F.broadcast(listed), "tag", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return rows.join(listed, "tag", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))

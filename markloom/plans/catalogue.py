@@ -218,6 +218,38 @@ def walk_without_nav(spark, sf_dir):
     return Q.text_by_document(met, "page_id")
 
 
+@query(
+    f"""SELECT href, n FROM (SELECT href, count(*) AS n FROM (SELECT {_decoded('unnest(l)')} AS href FROM (
+            SELECT regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)) GROUP BY href) ORDER BY n DESC, href LIMIT 10"""
+)
+def top_links(spark, sf_dir):
+    """The ten links that most anchors have: counted in parts, then each task's ten and ten of those."""
+    counted = Q.links(pages(spark, sf_dir), keys=("page_id",)).groupBy("href").agg(F.count(F.lit(1)).alias("n"))
+    return counted.orderBy(F.desc("n"), "href").limit(10)
+
+
+@query(
+    f"""SELECT page_id, {_decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS text FROM pages WHERE html LIKE '%<title>%'
+        INTERSECT SELECT page_id, {_decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} FROM pages WHERE html LIKE '%<h1>%'"""
+)
+def titles_as_headings(spark, sf_dir):
+    """Titles that stand as a first heading too."""
+    df = pages(spark, sf_dir)
+    first = lambda tag: Q.find(df, tag, keys=("page_id",)).select("page_id", "text")
+    return first("title").intersect(first("h1"))
+
+
+@query(
+    f"""SELECT round(exp(avg(ln(length(text)::DOUBLE / length(html)))), 6) AS share, count(*) AS n FROM (
+        SELECT html, {_decoded("regexp_replace(h, '<[^>]*(>|$)', '', 'g')")} AS text
+        FROM (SELECT page_id, h FROM ({_STRIPPED})) JOIN pages USING (page_id)) WHERE length(text) > 0"""
+)
+def text_share_geomean(spark, sf_dir):
+    """Geometric mean of the share that text has in markup, over pages with text."""
+    sized = pages(spark, sf_dir).select(F.length("html").alias("m"), F.length(S.Sanitizer("none").text(F.col("html"))).alias("t"))
+    return sized.where("t > 0").agg(F.round(F.exp(F.avg(F.ln(F.col("t") / F.col("m")))), 6).alias("share"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT page_id, true AS agree FROM pages")
 def sanitize_shapes_agree(spark, sf_dir):
     """The Python path and the expressions over events give the same HTML and removals, preset by preset."""

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markloom.functions.dialect import simple_transform
 from markloom.operators import query as Q
 from markloom.operators import sanitize as S
 from markloom.operators.legacy import legacy_sanitize
-from markloom.operators.parse import with_events
+from markloom.operators.parse import lenient_events, tokenize, with_events
 
 #: (markup, what the body holds): tree construction, tokens and character references.
 TREE = [
@@ -137,8 +138,127 @@ LENIENT = [
     ),
     ({"allowedTags": False, "allowedAttributes": False}, '<x-y z="1">t</x-y>', '<x-y z="1">t</x-y>'),
     ({"parser": {"lowerCaseTags": False}, "allowedTags": ["B"]}, "<B>x</B><b>y</b>", "<B>x</B>y"),
+    ({"textFilter": lambda text, tag: text.replace("x", tag)}, "<p>x</p>", "<p>p</p>"),
+    ({"exclusiveFilter": lambda f: f.tag == "a" and not f.text.strip()}, '<p><a href="x"></a>b<a href="y">c</a></p>', '<p>b<a href="y">c</a></p>'),
+    ({"exclusiveFilter": lambda f: "excludeTag" if f.tag == "b" else False}, "<p><b>x</b>y</p>", "<p>xy</p>"),
+    ({"transformTags": {"b": simple_transform("strong")}}, "<b>x</b>", "<strong>x</strong>"),
+    (
+        {"transformTags": {"ol": simple_transform("ul", {"class": "f"})}, "allowedAttributes": {"ul": ["class"]}},
+        "<ol><li>x</li></ol>", '<ul class="f"><li>x</li></ul>',
+    ),
+    (
+        {"transformTags": {"a": simple_transform("a", {"href": "z"}, False)}, "allowedAttributes": {"a": ["href", "name"]}},
+        '<a href="x" name="y">t</a>', '<a href="z">t</a>',
+    ),
+    ({"allowIframeRelativeUrls": True, "allowedTags": ["iframe"], "allowedAttributes": {"iframe": ["src"]}, "allowedIframeHostnames": ["a.b"]},
+     '<iframe src="/x"></iframe>', '<iframe src="/x"></iframe>'),
+    ({"selfClosing": ["x1"], "allowedTags": ["x1"]}, "<x1>", "<x1 />"),
+    ({"nonBooleanAttributes": []}, '<a href="">x</a>', "<a href>x</a>"),
+    ({"allowedEmptyAttributes": ["href"]}, '<a href="">x</a>', '<a href="">x</a>'),
+    ({"parser": {"decodeEntities": False}}, "a &lt; b &amp; c", "a &lt; b &amp; c"),
+    ({"allowedAttributes": {"a": ["data-u"]}, "allowedSchemesAppliedToAttributes": ["data-u"]}, '<a data-u="javascript:x">y</a>', "<a>y</a>"),
+    ({"allowedAttributes": {"p": ["style"]}}, '<p style="color: red !important; x:y">t</p>', '<p style="color:red !important;x:y">t</p>'),
+    ({"allowedAttributes": {"p": ["style"]}}, '<p style="color">t</p>', "<p>t</p>"),
+    ({"allowedAttributes": {"p": ["style"]}, "parseStyleAttributes": False}, '<p style="color: red">t</p>', '<p style="color: red">t</p>'),
+    ({"allowedAttributes": {"*": ["title"]}}, '<b title="t" id="i">x</b>', '<b title="t">x</b>'),
+    ({"allowedAttributes": False}, '<b onclick="t" a="&quot;">x</b>', '<b onclick="t" a="&quot;">x</b>'),
+    ({"allowedClasses": {"b": False}, "allowedAttributes": {"b": ["class"]}}, '<b class="u v">x</b>', '<b class="u v">x</b>'),
+    ({"allowedTags": ["img"], "allowedAttributes": {"img": ["srcset"]}}, '<img srcset="a 1w 2w, b 3x, c 0w, d 2w 3h">', '<img srcset="b 3x, d 2w 3h" />'),
+    ({"allowedSchemes": []}, '<a href="http://x">y</a><a href="z">w</a>', '<a>y</a><a href="z">w</a>'),
+    ({}, '<a href="java&#0;script:x">y</a><a href="JAVASCRIPT&colon;x">z</a>', '<a href="java�script:x">y</a><a>z</a>'),
+    ({}, "<?php x ?>y<!doctype html>z", "yz"),
+    ({}, "a<b", "a"),
+    ({}, "a < 3 <", "a &lt; 3 &lt;"),
+    ({}, "&#106;&nbsp;&bogus;&notit;", "j\u00a0&amp;bogus;¬it;"),
+    ({"disallowedTagsMode": "escape", "allowedTags": []}, "<!-- c -->x<y>z</y><y>", "x&lt;y&gt;z&lt;/y&gt;&lt;y&gt;"),
 ]
 
+#: (content model, start tag before it, markup, tokens): kind, name, data, name=value pairs, / for self-closing, ? for quirks.
+TOKENS = [
+    ("data", "", "<p id=1 ID=2 c>x</p >", "start_tag p id=1 c=|character x|end_tag p|eof"),
+    ("data", "", "a<br/>b", "character a|start_tag br /|character b|eof"),
+    ("data", "", "<a b='1' b=2 c=\"x&lt;\">", "start_tag a b=1 c=x<|eof"),
+    ("data", "", "x</>y</ z>w", "character xy|comment  z|character w|eof"),
+    ("data", "", "<p", "eof"),
+    ("data", "", "a\r\nb\rc", "character a\nb\nc|eof"),
+    ("data", "", "&#x41;&#128;&#xD800;&#x110000;&bogus;&ampx;", "character A€��&bogus;&x;|eof"),
+    ("data", "", '<a b="&ampx&amp=&amp;">', "start_tag a b=&ampx&amp=&|eof"),
+    ("data", "", "<!--a--><!--b--!>c", "comment a|comment b|character c|eof"),
+    ("data", "", "<!--a<!--b-->", "comment a<!--b|eof"),
+    ("data", "", "<?x><!y><![CDATA[z]]>", "comment ?x|comment y|comment [CDATA[z]]|eof"),
+    ("data", "", "<!DOCTYPE html>", "doctype html|eof"),
+    ("data", "", "<!DOCTYPE>", "doctype ?|eof"),
+    ("data", "", '<!doctype HTML public "a" "b">', "doctype html a b|eof"),
+    ("data", "", "<!doctype html system 'x>y", "doctype html x ?|character y|eof"),
+    ("rcdata", "title", "a<b>&amp;</title>c", "character a<b>&|end_tag title|character c|eof"),
+    ("rawtext", "style", "a&amp;</styl></STYLE>", "character a&amp;</styl>|end_tag style|eof"),
+    ("script_data", "script", "<!--<script></script>--></script>x", "character <!--<script></script>-->|end_tag script|character x|eof"),
+    ("script_data", "script", "<!--</script>x", "character <!--|end_tag script|character x|eof"),
+    ("plaintext", "", "a</plaintext>", "character a</plaintext>|eof"),
+]
+
+#: (markup, text outside raw-text elements).
+TEXTS = [
+    ("a<script>b</script><style>c</style><p>d &amp; e</p><!--f-->", "ad & e"),
+    ("<title>t</title>x<iframe>y</iframe><noframes>z</noframes>", "tx"),
+    ("<textarea>a&lt;b</textarea>&nbsp;c", "a<b\u00a0c"),
+    ("<table>u<tr><td>v</table>", "uv"),
+    ("", ""),
+]
+
+#: (markup, kept events) of the fragment sink under ``_POLICY``.
+FRAGMENTS = [
+    ("<p onclick=x title=t>a<i>b</i><script>c</script></p>", "open p title=t|text a|text b|close p"),
+    ("<div><b>x</b></div>", "open div|open b|text x|close b|close div"),
+    ("<!--c-->x<a href=javascript:y>z</a>", "text x|open a|text z|close a"),
+    ("", ""),
+]
+
+#: (steps of the builder, markup, result).
+BUILDERS = [
+    ([("allow", "b")], "<b>x</b><i>y</i>", "<b>x</b>y"),
+    ([("preset", "basic"), ("deny", "a")], "<a href=x>y</a><b>z</b>", "y<b>z</b>"),
+    ([("preset", "none"), ("allow", "a", ["href"]), ("allow", "a", ["title"])], "<a href=x title=y id=z>t</a>", '<a href="x" title="y">t</a>'),
+    ([("allow", "script"), ("allow", "p", ["onclick"])], "<script>x</script><p onclick=y>z</p>", "<p>z</p>"),
+    ([("preset", {"tags": ["b"], "attrs": {"*": ["id"]}}), ("deny", "b"), ("allow", "i")], "<b id=x>y</b><i id=z>w</i>", 'y<i id="z">w</i>'),
+    ([("allow", "table"), ("allow", "b")], "<table><b>x</b></table>", "<b>x</b><table></table>"),
+    ([("allow", "table"), ("allow", "b"), ("parser", "lenient")], "<table><b>x</b></table>", "<table><b>x</b></table>"),
+    ([("allow", "table"), ("allow", "b"), ("parser", "dom")], "<table><b>x</b></table>", "<b>x</b><table></table>"),
+    ([("preset", "basic"), ("preset", "ugc")], "<a href=x title=y>t</a><h1>u</h1><input>", '<a href="x" title="y">t</a><h1>u</h1>'),
+    ([("preset", "none")], "<p>a</p><b>c</b>", "ac"),
+    ([("preset", "basic")], "<h1>a</h1><p class=c>b<br></p><img src=x>", "a<p>b<br></p>"),
+    ([("preset", "markdown")], "<img src=x alt=y onerror=z><table><tr><td>a</table><u>b</u>",
+     '<img src="x" alt="y"><table><tbody><tr><td>a</td></tr></tbody></table>b'),
+    ([("preset", "ugc")], "<p class=c onclick=d style=e>x</p><form>y</form>", '<p class="c">x</p>y'),
+]
+
+#: (markup, result) of the unsafe sink where script, p with onclick and style, and a with href are listed.
+UNSAFE = [
+    ("<p onclick=x>a<script>b</script></p>", '<p onclick="x">a<script>b</script></p>'),
+    ("<a href=javascript:x>c</a><i>d</i>", '<a href="javascript:x">c</a>d'),
+    ("<p style='width:expression(1)' id=i>e</p>", '<p style="width:expression(1)">e</p>'),
+    ("<style>f</style>g<!--h-->", "g"),
+]
+
+#: (least units, markup, chunks) with p listed; no tag or text is cut.
+CHUNKS = [
+    (5, "<p>ab</p><p>cd</p>", "<p>ab|</p><p>|cd</p>"),
+    (1000, "<p>ab</p><p>cd</p>", "<p>ab</p><p>cd</p>"),
+    (1, "a<p>", "a|<p>|</p>"),
+    (2, "<p>\U0001f600</p>", "<p>|\U0001f600|</p>"),
+    (9, "", ""),
+]
+
+#: (markup, events) of the forgiving parser; a close that no end tag asked for is implied.
+LENIENT_EVENTS = [
+    ("<p>a<b x=1 y>b</p>c<!--d-->", "open p|text a|open b x=1 y=|text b|close b implied|close p|text c|comment d"),
+    ("<LI>a<LI>b", "open li|text a|close li implied|open li|text b|close li implied"),
+    ("<p>a<p>b", "open p|text a|close p implied|open p|text b|close p implied"),
+    ("<script>a<b></script>c", "open script|text a<b>|close script|text c"),
+    ("a</i>b", "text a|text b"),
+    ("<b", ""),
+]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -146,7 +266,7 @@ ORACLE_SQL: dict[str, str] = {}
 def _text(x: str) -> str:
     """A SQL string; line feeds and tabs are spelled out."""
     quoted = x.replace("'", "''")
-    for c in "\n\t":
+    for c in "\n\r\t":
         quoted = quoted.replace(c, f"' || chr({ord(c)}) || '")
     return f"('{quoted}')"
 
@@ -160,6 +280,17 @@ def _cases(spark: SparkSession, rows: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(rows)), "case_id int, html string").repartition(4)
 
 
+def _union(made: list[DataFrame]) -> DataFrame:
+    """Tables put together pair by pair, so that the plan stays shallow."""
+    while len(made) > 1:
+        made = [a.unionByName(b) for a, b in zip(made[::2], made[1::2], strict=False)] + made[len(made) // 2 * 2 :]
+    return made[0]
+
+
+def _case(spark: SparkSession, k: int, html: str) -> DataFrame:
+    return spark.createDataFrame([(k, html)], "case_id int, html string").coalesce(1)
+
+
 def _query(sql: str):  # noqa: ANN202
     def add(f):  # noqa: ANN001, ANN202
         QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
@@ -201,10 +332,99 @@ def dirty_report(spark, sf_dir):
 @_query(_values([(out,) for *_, out in LENIENT], "case_id, html"))
 def dirty_legacy(spark, sf_dir):
     """One row for each option set; a table for each, put together."""
-    made = [
-        spark.createDataFrame([(k, html)], "case_id int, html string").select("case_id", legacy_sanitize(F.col("html"), given).alias("html"))
+    return _union([
+        _case(spark, k, html).select("case_id", legacy_sanitize(F.col("html"), given).alias("html"))
         for k, (given, html, _) in enumerate(LENIENT)
-    ]
-    while len(made) > 1:
-        made = [a.unionByName(b) for a, b in zip(made[::2], made[1::2], strict=False)] + made[len(made) // 2 * 2 :]
-    return made[0]
+    ])
+
+
+def _line(rows: Column, parts: Callable[[Column], list[Column]]) -> Column:
+    """An array of structs as one string: parts with blanks between, rows with bars."""
+    return F.array_join(F.transform(rows, lambda x: F.concat_ws(" ", *parts(x))), "|")
+
+
+def _pairs(x: Column) -> Column:
+    return F.nullif(F.array_join(F.transform(x["attrs"], lambda a: F.concat(a["name"], F.lit("="), a["value"])), " "), F.lit(""))
+
+
+@_query(_values([(out,) for *_, out in TOKENS], "case_id, tokens"))
+def dirty_tokens(spark, sf_dir):
+    """Tokens in each content model."""
+    def parts(t: Column) -> list[Column]:
+        return [
+            t["kind"], t["name"], t["data"], _pairs(t), F.when(t["self_closing"], "/"), t["public_id"], t["system_id"],
+            F.when(t["force_quirks"], "?"),
+        ]
+
+    return _union([
+        _case(spark, k, html).select("case_id", _line(tokenize(F.col("html"), state, last), parts).alias("tokens"))
+        for k, (state, last, html, _) in enumerate(TOKENS)
+    ])
+
+
+@_query(_values([(out,) for _, out in TEXTS], "case_id, text"))
+def dirty_text(spark, sf_dir):
+    return _cases(spark, [h for h, _ in TEXTS]).select("case_id", _sanitizer().text(F.col("html")).alias("text"))
+
+
+@_query(_values([(out,) for _, out in FRAGMENTS], "case_id, events"))
+def dirty_fragment(spark, sf_dir):
+    parts = lambda e: [e["kind"], F.when(e["kind"] != "text", e["name"]), F.when(e["kind"] == "open", _pairs(e)), F.when(e["kind"] == "text", e["value"])]
+    return _cases(spark, [h for h, _ in FRAGMENTS]).select("case_id", _line(_sanitizer().fragment(F.col("html")), parts).alias("events"))
+
+
+@_query(_values([(out,) for *_, out in BUILDERS], "case_id, html"))
+def dirty_builder(spark, sf_dir):
+    """Presets, allow, deny and parser in the builder; the baseline cannot be allowed away."""
+    made = []
+    for k, (steps, html, _) in enumerate(BUILDERS):
+        b = S.Sanitizer.builder()
+        for step, *args in steps:
+            b = getattr(b, step)(*args)
+        made.append(_case(spark, k, html).select("case_id", b.build().sanitize(F.col("html")).alias("html")))
+    return _union(made)
+
+
+@_query(_values([(out,) for _, out in UNSAFE], "case_id, html"))
+def dirty_unsafe(spark, sf_dir):
+    loose = S.Sanitizer.builder({"tags": ["script", "p", "a"], "attrs": {"p": ["onclick", "style"], "a": ["href"]}}).build()
+    return _cases(spark, [h for h, _ in UNSAFE]).select("case_id", loose.unsafe(F.col("html")).alias("html"))
+
+
+@_query(_values([(out,) for *_, out in CHUNKS], "case_id, chunks"))
+def dirty_chunks(spark, sf_dir):
+    s = S.Sanitizer.builder().allow("p").build()
+    return _union([
+        _case(spark, k, html).select("case_id", F.array_join(s.chunks(F.col("html"), size), "|").alias("chunks"))
+        for k, (size, html, _) in enumerate(CHUNKS)
+    ])
+
+
+@_query(_values([(out,) for _, out in LENIENT_EVENTS], "case_id, events"))
+def dirty_legacy_events(spark, sf_dir):
+    parts = lambda e: [e["kind"], e["name"], e["data"], _pairs(e), F.when(e["is_implied"], "implied")]
+    return _cases(spark, [h for h, _ in LENIENT_EVENTS]).select("case_id", _line(lenient_events(F.col("html")), parts).alias("events"))
+
+
+@_query(
+    "SELECT 'attribute' AS what, name, count(*) AS n FROM (" + _values([(w,) for *_, gone in POLICY for w in gone.split() if not w.startswith("tag:")], "i, w")
+    + ") , LATERAL (SELECT split_part(w, ':', 2) AS name) GROUP BY name UNION ALL SELECT 'tag', name, count(*) FROM ("
+    + _values([(w,) for *_, gone in POLICY for w in gone.split() if w.startswith("tag:")], "i, w")
+    + "), LATERAL (SELECT split_part(w, ':', 2) AS name) GROUP BY name"
+)
+def dirty_removals_union(spark, sf_dir):
+    """Removed tags and removed attributes, counted apart and put together."""
+    gone = S.removals(_cases(spark, [h for h, *_ in POLICY]), _sanitizer(), keys=("case_id",))
+    count = lambda what, rows: rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "name", "n")
+    return count("tag", gone.where("kind = 'tag'")).unionByName(count("attribute", gone.where("kind <> 'tag'")))
+
+
+def _json(gone: str) -> str:
+    rows = (w.split(":") for w in gone.split())
+    return "[" + ",".join('{"kind":"%s","name":"%s","reason":"%s"}' % tuple(r) for r in rows) + "]"
+
+
+@_query(_values([(_json(gone),) for *_, gone in POLICY], "case_id, removed"))
+def dirty_report_json(spark, sf_dir):
+    """The report as JSON."""
+    return _cases(spark, [h for h, *_ in POLICY]).select("case_id", F.to_json(_sanitizer().report(F.col("html"))["removed"]).alias("removed"))

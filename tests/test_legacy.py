@@ -159,3 +159,8 @@ def test_option_matrix_on_random_markup():
                 assert isinstance(out, str) and c.clean(html) == out
                 if given.get("allowed_tags") is not False:
                     assert "<script" not in out and "href=\"javascript" not in out.replace("&lt;", "")
+
+
+def test_wrong_descriptor_warns():
+    with pytest.warns(UserWarning, match="descriptor"):
+        assert [c.url for c in candidates("a 0w, b 1w 2x, c -1x, d 1q, e 2h 1w, f 0x")] == ["e", "f"]

@@ -7,8 +7,11 @@ import random
 import pytest
 from markloom.functions import tokens as T
 from markloom.functions.entities import decode_attribute, decode_text
+from markloom.functions.mappings import adapted
 from markloom.functions.render import events, plain_text, serialized
 from markloom.functions.tree import build
+from markloom.operators.parse import PARSERS, register_parser
+from markloom.operators.sanitize import Sanitizer
 
 
 def inner(html):
@@ -98,3 +101,35 @@ def test_reserialising_settles():
         html = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
         once = serialized(build(html))
         assert plain_text(build(once)) == plain_text(build(html))
+
+
+def test_parser_of_mappings():
+    given = {"nodeName": "#document", "childNodes": [
+        {"nodeName": "#documentType", "name": "html", "publicId": "p"},
+        {"nodeName": "html", "tagName": "html", "childNodes": [
+            {"nodeName": "svg", "tagName": "svg", "namespaceURI": "http://www.w3.org/2000/svg",
+             "attrs": [{"name": "href", "prefix": "xlink", "value": "javascript:x"}, {"name": "id", "value": "i"}]},
+            {"nodeName": "template", "tagName": "template", "content": {"childNodes": [{"nodeName": "#text", "value": "t"}]}},
+            {"nodeName": "#comment", "data": "c"},
+            {"nodeName": "math", "tagName": "math", "namespaceURI": "http://www.w3.org/1998/Math/MathML"},
+        ]},
+    ]}
+    root = adapted(lambda _: given)("any")
+    top = root.children[1]
+    assert [(n.kind, n.name, n.ns, n.value) for n in top.children] == [
+        ("element", "svg", "svg", ""), ("element", "template", "html", ""), ("comment", "", "html", "c"), ("element", "math", "mathml", ""),
+    ]
+    assert top.children[0].attrs == [["xlink href", "javascript:x"], ["id", "i"]]
+    assert top.children[1].children[0].value == "t" and root.children[0].public == "p" and top.parent is root
+
+
+def test_registered_parsers(spark):
+    deep = {"nodeName": "#text", "value": "x"}
+    for _ in range(3000):
+        deep = {"nodeName": "b", "tagName": "b", "childNodes": [deep]}
+    register_parser("deep", lambda _: {"nodeName": "#document", "childNodes": [deep]}, mappings=True)
+    try:
+        assert Sanitizer("none", "deep").clean("any") == "x"
+    finally:
+        del PARSERS["deep"]
+    assert Sanitizer("basic", "dom").clean("<p>a<p>b") == Sanitizer("basic").clean("<p>a<p>b")
