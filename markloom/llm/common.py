@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,10 +50,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written() -> None:
-    """Delete every table that ``cut`` wrote in this process."""
-    while _written:
-        spark, path = _written.pop()
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in reversed(tables):
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,6 +60,28 @@ def drop_written() -> None:
             return
 
 
+def drop_written() -> None:
+    """Delete every table that ``cut`` wrote in this process."""
+    _delete(_written)
+    _written.clear()
+
+
+@contextmanager
+def last_stays() -> Iterator[None]:
+    """Of the tables that ``cut`` writes inside, only the last outlives the block; it must be the only one still read.
+
+    The driver's memory is collected then, which lets Spark delete the shuffle
+    files of plans that are gone.
+    """
+    mark = len(_written)
+    yield
+    passed = _written[mark:-1]
+    _delete(passed)
+    del _written[mark:-1]
+    if passed:
+        passed[0][0].sparkContext._jvm.System.gc()
+
+
 atexit.register(drop_written)
 
 

@@ -19,7 +19,7 @@ similarity breaks, and verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, last_stays
 from .components import components
 from .simhash import links
 
@@ -60,12 +60,21 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= LIKE * (len(a) + len(b) - both)
 
 
-def parity(h: np.ndarray) -> np.ndarray:
-    """Bit k tells whether an odd number of the shingles falls on k: sets that differ in d shingles differ in at most d bits."""
-    odd = np.bincount((h >> np.uint64(7)).astype(np.int64) & (64 * MAP_WORDS - 1), minlength=64 * MAP_WORDS) & 1
+def parity(h: np.ndarray, words: int = MAP_WORDS) -> np.ndarray:
+    """Bit k tells whether an odd number of the shingles falls on k: sets that differ in d shingles differ in at most d bits.
+
+    ``words`` is a power of two; the two halves of a map, one upon the other by
+    exclusive or, are the map of half as many words.
+    """
+    odd = np.bincount((h >> np.uint64(7)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide(h: np.ndarray) -> np.ndarray | None:
+    """Map of a bit or two a shingle, for sets that fill the small one."""
+    return parity(h, 1 << (-(-len(h) // 64) - 1).bit_length()) if len(h) > 64 * MAP_WORDS else None
+
+
 def majority(h: np.ndarray) -> int:
     """SimHash of a set of shingles, as a signed number."""
     bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -88,10 +97,10 @@ def _frequent(docs: DataFrame, id_col: str, text: str) -> tuple[np.ndarray, np.n
 
 
 def _facts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(o, key, n, fp, map, first) of every row: o orders rows by id, null last, and tells the row; key tells sets apart."""
+    """(o, key, n, fp, map, wide, first) of every row: o orders rows by id, null last, and tells the row; key tells sets apart."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, id_col, text))  # at most SAMPLE_SHINGLES
 
-    @F.pandas_udf("key long, n long, fp long, map array<long>, first array<long>")
+    @F.pandas_udf("key long, n long, fp long, map array<long>, wide array<long>, first array<long>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
@@ -106,8 +115,8 @@ def _facts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     count = np.where(known[at] == h, times[at], 0)
                 first = h[np.lexsort((h, count))][: len(h) - -(-LIKE * len(h) // OF) + 1]
                 key = np.array(xxh64_intdigest(h.tobytes(), 42), np.uint64).view(np.int64).item()
-                rows.append((key, len(h), majority(h), parity(h), first.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["key", "n", "fp", "map", "first"])
+                rows.append((key, len(h), majority(h), parity(h), wide(h), first.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["key", "n", "fp", "map", "wide", "first"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), run(F.col(text)).alias("s"))
     return cut(rows.select(F.struct(F.col("id").isNull().alias("none"), "id", "t", F.col("s.key").alias("key")).alias("o"), "s.*"), "near-facts")
@@ -120,7 +129,24 @@ def _may(n: Column, their_n: Column, bits: Column, their_bits: Column) -> Column
     return sizes & ((OF + LIKE) * apart <= (OF - LIKE) * (n + their_n))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _may_wide(pairs: DataFrame, wides: DataFrame) -> DataFrame:
+    """``pairs`` (key, other) without those of long texts that differ in too many bits of their wide maps."""
+    a = wides.select("key", "n", "wide")
+    b = wides.select(F.col("key").alias("other"), F.col("n").alias("n2"), F.col("wide").alias("wide2"))
+    # sizes within 4/5 of each other: of two maps one is at most twice as wide, and is folded
+    least = F.least(F.size("wide"), F.size("wide2"))
+
+    def folded(x: Column) -> Column:
+        halves = F.zip_with(F.slice(x, 1, least), F.slice(x, least + 1, least), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > least, halves).otherwise(x)
+
+    bits = F.zip_with(folded(F.col("wide")), folded(F.col("wide2")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+    fine = F.col("wide").isNull() | F.col("wide2").isNull() | ((OF + LIKE) * apart <= (OF - LIKE) * (F.col("n") + F.col("n2")))
+    return pairs.join(a, "key", "left").join(b, "other", "left").where(fine).select("key", "other")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, wides: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(key): the later ones of candidate pairs (key, other), ``other`` being the earlier, that are near copies by their whole texts."""
 
     @F.pandas_udf("boolean")
@@ -128,6 +154,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
         sets = {t: shingles(t) for t in {*a, *b}}
         return pd.Series([near(sets[x], sets[y]) for x, y in zip(a, b, strict=True)], dtype=bool)
 
+    with last_stays():
+        return _met(cut(_may_wide(pairs, wides), "near-pairs"), nodes, docs, id_col, text, same)
+
+
+def _met(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, same: Callable) -> DataFrame:
+    """(key) of the pairs whose texts, put side by side, are the ``same``; stored."""
     keys = pairs.select("key").union(pairs.select("other")).distinct()
     asked = cut(nodes.join(keys, "key").select("key", F.col("o.id").alias("_near_id"), F.col("o.t").alias("_near_t")), "near-asked")
     if asked.count() <= BROADCAST_ROWS:
@@ -160,8 +192,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     facts = _facts(docs, id_col, text)
     nodes = cut(facts.groupBy("key").agg(F.min(F.struct("o", "n", "fp", "map")).alias("m")).select("key", "m.*"), "near-nodes")
+    wides = cut(facts.where("wide is not null").select("key", "n", "wide").dropDuplicates(["key"]), "near-wide")
     total = nodes.count()
-    gone = [_verified(cut(_by_fingerprint(nodes), "near-pairs"), nodes, docs, id_col, text)]
+    with last_stays():
+        pairs = cut(_by_fingerprint(nodes), "near-pairs")
+    gone = [_verified(pairs, nodes, wides, docs, id_col, text)]
     posts = facts.join(nodes.select(F.col("o").alias("least")), F.col("o") == F.col("least"), "left_semi").join(gone[0], "key", "left_anti")
     posts = posts.select("key", "o", F.posexplode("first").alias("at", "h"))
     shared = posts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
@@ -178,7 +213,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         able = met.join(facts_of, "key").join(theirs, "other").where(_may(F.col("n"), F.col("n2"), F.col("map"), F.col("map2")))
         pairs = cut(able.groupBy("key").agg(F.max_by("other", F.struct("c", "other")).alias("other")), "near-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        went = _verified(pairs, nodes, docs, id_col, text)
+        went = _verified(pairs, nodes, wides, docs, id_col, text)
         gone.append(went)
         live = cut(live.join(went, "key", "left_anti"), "near-posts")
         dropped = went.count()
@@ -192,7 +227,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         most = F.least("at", "at2") + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
         able = (F.col("o2") < F.col("o")) & _may(F.col("n"), F.col("n2"), F.col("map"), F.col("map2")) & ((OF + LIKE) * most >= LIKE * (F.col("n") + F.col("n2")))
         pairs = full.join(others, "h").where(able).select("key", "other").distinct()
-        gone.append(_verified(cut(pairs, "near-pairs"), nodes, docs, id_col, text))
+        gone.append(_verified(cut(pairs, "near-pairs"), nodes, wides, docs, id_col, text))
     for went in gone:
         nodes = nodes.join(went, "key", "left_anti")
     keep = nodes.select(F.col("o.id").alias("_near_id"), F.col("o.t").alias("_near_t"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markloom.llm import ann, langid, mixing, packing, secret_scan, url_rules
+from markloom.llm import ann, langid, mixing, near_copies, packing, secret_scan, url_rules
 from markloom.llm.queries import URL_RULES, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
@@ -432,6 +432,31 @@ def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
     assert corpus_pipeline.drop_near_copies(spark, docs_of(spark, []), SF).count() == 0
 
 
+def test_wide_maps_fold_and_bound():
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 1 << 63, 1500, dtype=np.uint64))
+    assert near_copies.wide(h[:512]) is None and len(near_copies.wide(h[:513])) == 16 and len(near_copies.wide(h[:1025])) == 32
+    broad = near_copies.parity(h, 32)
+    assert (broad[:16] ^ broad[16:]).tolist() == near_copies.parity(h, 16).tolist()
+    other = np.unique(np.concatenate([h[100:], rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))
+    assert sum(int(x).bit_count() for x in (broad ^ near_copies.parity(other, 32)).view(np.uint64)) <= len(np.setxor1d(h, other))
+
+
+def test_near_copies_of_long_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(24):  # sizes around a power of two, so that maps of two widths meet; all share a passage
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([500, 900, 1000]))] + [f"shared{k}" for k in range(150)]
+        rows.append((i, " ".join(words), "en", "s"))
+        for j, share in ((100 + i, 0.01), (200 + i, 0.15)):  # a near copy, and one far beyond 0.8
+            changed = [f"x{j}-{k}" if rng.random() < share else w for k, w in enumerate(words)]
+            rows.append((j, " ".join(changed), "en", "s"))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), SF).collect())
+    assert kept == [*range(24), *range(200, 224)]
+
+
 def test_footrule_of_inverted_files():
     rng = np.random.default_rng(2)
     seq = np.array([rng.permutation(12)[:5] for _ in range(40)], np.int16)
