@@ -251,6 +251,43 @@ def test_whole_tokens_count_and_all_of_a_chain_is_tagged():
     assert secret_scan._parts([[1]] * 40, [0] * 18 + [1] + [2] * 21) == [([[1]] * 16, [0] * 16), ([[1]] * 24, [0, 0, 1, *[2] * 21])]
 
 
+def test_tokens_far_from_cues_are_decoded(spark, field):
+    w = np.zeros((secret_scan.DIM, 3))
+    w[:, 1] = 1.0  # every token begins a secret
+    text = "nothing special occurs anywhere " * 3
+    spans = secret_scan.scan(text, secret_scan.Field(w, np.zeros((3, 3))))[1]
+    assert [text[s:e] for s, e, _ in spans] == text.split()
+    prose = "benti lamor dune kipra solte " * 40
+    phrase = "kanto mirel dopa senti bruva lokin farme tusal pirno gedal wimba rosta celon dafi mulpe sarko tindra bovel"
+    for lead, secret in (("seed phrase: ", phrase), ("", "xQzRtWvKpLmNbGhJ")):
+        text = f"{prose}{lead}{secret}\n{prose}"
+        assert [(text[s:e], k) for s, e, k in secret_scan.scan(text, field)[1]] == [(secret, "crf")]
+        rows = secret_scan.find_secrets(docs_of(spark, [(1, text, "en", "s"), (2, prose, "en", "s"), (3, None, "en", "s")]), field).collect()
+        at = len(prose + lead)
+        assert {r["doc_id"]: r["spans"] for r in rows} == {1: f"crf:{at}:{at + len(secret)}", 2: "", 3: ""}
+
+
+@pytest.mark.parametrize("bias", [0.0, 4.0, 8.0])
+def test_decoder_is_viterbi_over_all_tokens(bias, monkeypatch):
+    """The summed weights are those of the features and the bound loses no token, whatever lots and tables hold."""
+    monkeypatch.setattr(secret_scan, "LOT_TOKENS", 500)
+    monkeypatch.setattr(secret_scan, "HELD_WORDS", 200)
+    monkeypatch.setattr(secret_scan, "HELD_GAPS", 20)
+    rng, draw = np.random.default_rng(8), random.Random(8)
+    field = secret_scan.Field(rng.normal(size=(secret_scan.DIM, 3)), rng.normal(size=(3, 3)))
+    field.w[secret_scan._hash("bias"), 0] += bias
+    bits = ["key", "pwd", " ", "\n", ",", ".", "=", "==", "  ", "a", "B9", "word", "\u017fecret token", "credent\u0131al", "\u00e9", "-", "phrase", '"', ": ", "Pass-Phrase", "x" * 70]
+    texts = ["", " \n", ",;", *("".join(draw.choices(bits, k=draw.randint(0, 80))) for _ in range(200)), *(t for t, _ in secret_scan.made_up_far(60, seed=3))]
+    tagged = 0
+    for text, (base, spans) in zip(texts, secret_scan.Decoder(field).scan(texts), strict=True):
+        path = [x for rows, _ in secret_scan.tagged(text, []) for x in field.viterbi(rows)]
+        tags = {k: x for k, x in enumerate(path) if x}
+        assert spans == (secret_scan.with_added(base, secret_scan.secrets(text, tags)) if tags else base)
+        assert base == secret_scan.base_spans(text)
+        tagged += len(tags)
+    assert tagged > 100
+
+
 def test_base_spans_agree_with_duckdb(spark, field):
     """The patterns' counts by another engine; its ``i`` flag folds ASCII, so no letter of these texts is beyond it."""
     docs = spark.read.parquet(f"/root/testdata/sf0.01/documents.parquet")
