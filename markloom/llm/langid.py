@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructType
 
+from .common import give_back
+
 #: Features of the hashed n-gram space.
 DIM = 4096
 SAMPLE_PER_LANG = 900
@@ -216,6 +218,8 @@ def language(docs: DataFrame, model: Model | None, text: str = "text") -> Column
                     for i, k, s, g in zip(rows, best, p, margin, strict=True):
                         pred[i], score[i], vague[i] = m.langs[k], min(1.0, max(0.0, float(s))), bool(g < AMBIGUOUS)
             yield pd.DataFrame({"lang_pred": pred, "score": score, "lang_ambiguous": vague})
+        part = None
+        give_back()
 
     return guess(F.col(text))
 

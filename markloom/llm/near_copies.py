@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, last_stays
+from .common import cut, give_back, last_stays, small_batches
 from .components import components
 from .simhash import links
 
@@ -85,14 +85,18 @@ def _frequent(docs: DataFrame, id_col: str, text: str) -> tuple[np.ndarray, np.n
     """Shingles that a sample of documents repeats, in order, and how often."""
 
     @F.pandas_udf("array<long>")
-    def run(part: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t if isinstance(t, str) else None).view(np.int64) for t in part])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([shingles(t if isinstance(t, str) else None).view(np.int64) for t in part])
+        part = None
+        give_back()
 
     n = docs.count()
     u = F.shiftrightunsigned(F.xxhash64(F.lit(4), id_col, text), 11).cast("double") / F.lit(float(1 << 53))
     few = docs.where(u < min(1.0, SAMPLE_DOCS / max(1, n)))
     counts = few.select(F.explode(run(F.col(text))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    got = sorted((r["h"] % (1 << 64), r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(SAMPLE_SHINGLES).collect())
+    with small_batches(docs.sparkSession):
+        got = sorted((r["h"] % (1 << 64), r["n"]) for r in counts.orderBy(F.desc("n"), "h").limit(SAMPLE_SHINGLES).collect())
     return np.array([h for h, _ in got], np.uint64), np.array([c for _, c in got], np.int64)
 
 
@@ -117,9 +121,12 @@ def _facts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 key = np.array(xxh64_intdigest(h.tobytes(), 42), np.uint64).view(np.int64).item()
                 rows.append((key, len(h), majority(h), parity(h), wide(h), first.view(np.int64)))
             yield pd.DataFrame(rows, columns=["key", "n", "fp", "map", "wide", "first"])
+        part = rows = None
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), run(F.col(text)).alias("s"))
-    return cut(rows.select(F.struct(F.col("id").isNull().alias("none"), "id", "t", F.col("s.key").alias("key")).alias("o"), "s.*"), "near-facts")
+    with small_batches(docs.sparkSession):
+        return cut(rows.select(F.struct(F.col("id").isNull().alias("none"), "id", "t", F.col("s.key").alias("key")).alias("o"), "s.*"), "near-facts")
 
 
 def _may(n: Column, their_n: Column, bits: Column, their_bits: Column) -> Column:
@@ -150,9 +157,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, wides: DataFrame, docs: DataFr
     """(key): the later ones of candidate pairs (key, other), ``other`` being the earlier, that are near copies by their whole texts."""
 
     @F.pandas_udf("boolean")
-    def same(a: pd.Series, b: pd.Series) -> pd.Series:
-        sets = {t: shingles(t) for t in {*a, *b}}
-        return pd.Series([near(sets[x], sets[y]) for x, y in zip(a, b, strict=True)], dtype=bool)
+    def same(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            sets = {t: shingles(t) for t in {*a, *b}}
+            yield pd.Series([near(sets[x], sets[y]) for x, y in zip(a, b, strict=True)], dtype=bool)
+        a = b = sets = None
+        give_back()
 
     with last_stays():
         return _met(cut(_may_wide(pairs, wides), "near-pairs"), nodes, docs, id_col, text, same)
@@ -168,7 +178,8 @@ def _met(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text:
     found = body.join(asked, F.col("id").eqNullSafe(F.col("_near_id")) & (F.col("t") == F.col("_near_t")))
     texts = cut(found.select("key", "body").dropDuplicates(["key"]), "near-texts")
     met = pairs.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("body").alias("their")), "other")
-    return cut(met.where(same("body", "their")).select("key").distinct(), "near-gone")
+    with small_batches(docs.sparkSession):
+        return cut(met.where(same("body", "their")).select("key").distinct(), "near-gone")
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:

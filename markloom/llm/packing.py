@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, sums_before
+from .common import cut, give_back, small_batches, sums_before
 
 CAPACITY = 2048
 EOT = 0
-#: Word cache of a Python worker: entries until it is emptied.
+#: Word cache of a task: entries until it is emptied.
 CACHE_WORDS = 1_000_000
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -100,6 +100,9 @@ def tokenize_pieces(docs: DataFrame, id_col: str, text: str, vocabulary: str, ca
             out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
             out["id"] = out["id"].astype("Int64")
             yield out
+        encode.cache.clear()  # the worker may serve other stages next; a task of texts fills it anew
+        batch = rows = out = None
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(run, PIECES)
 
@@ -224,5 +227,6 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "
     packed each for itself. An empty table gives no rows; further columns are
     ignored.
     """
-    pieces = cut(tokenize_pieces(docs, id_col, text, vocabulary, capacity), "pack-pieces")
+    with small_batches(docs.sparkSession):
+        pieces = cut(tokenize_pieces(docs, id_col, text, vocabulary, capacity), "pack-pieces")
     return assign(pieces, capacity).withColumnRenamed("id", id_col)

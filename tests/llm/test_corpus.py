@@ -8,10 +8,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from markloom.llm import ann, langid, mixing, near_copies, packing, secret_scan, url_rules
+from markloom.llm import ann, common, langid, mixing, near_copies, packing, secret_scan, url_rules
 from markloom.llm.queries import URL_RULES, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
@@ -494,6 +495,51 @@ def test_near_copies_of_long_texts(spark):
     assert kept == [*range(24), *range(200, 224)]
 
 
+def test_whole_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+
+    name, seen, made = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, []
+
+    @F.pandas_udf("long")
+    def together(part: pd.Series) -> pd.Series:
+        return pd.Series([len(part)] * len(part))
+
+    def noted(df, table, cut=common.cut):
+        seen[table] = int(spark.conf.get(name))
+        if not made:  # the size that a worker sees while the table is written
+            made.append(cut(spark.range(0, 4000, 1, 1).select(together("id").alias("n")), "probe"))
+        return cut(df, table)
+
+    monkeypatch.setattr(near_copies, "cut", noted)
+    monkeypatch.setattr(packing, "cut", noted)
+    rows = [(i, " ".join(f"w{i // 2}-{k}" for k in range(40)) + f" end{i}", "en", "s") for i in range(20)]
+    before = spark.conf.get(name)
+    assert corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), SF).count() == 10
+    packing.pack(docs_of(spark, rows), vocabulary_path())
+    assert all(seen[t] <= common.ARROW_ROWS for t in ("near-facts", "near-gone", "pack-pieces"))
+    assert made[0].agg(F.max("n")).first()[0] <= common.ARROW_ROWS
+    assert spark.conf.get(name) == before
+    try:
+        spark.conf.set(name, "3")
+        with common.small_batches(spark):
+            assert spark.conf.get(name) == "3"
+        assert spark.conf.get(name) == "3"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_workers_keep_no_words_of_packed_texts(spark):
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(200)), "en", "s") for i in range(64)]
+    path = vocabulary_path()
+    assert packing.tokenize_pieces(docs_of(spark, rows), "doc_id", "text", path).count() >= 64
+
+    def words(parts):
+        for part in parts:
+            yield pd.DataFrame({"n": [sum(len(e.cache) for e in packing._encoders.values())] * len(part)})
+
+    assert spark.range(0, 64, 1, 16).mapInPandas(words, "n long").agg(F.max("n")).first()[0] == 0
+
+
 def test_footrule_of_inverted_files():
     rng = np.random.default_rng(2)
     seq = np.array([rng.permutation(12)[:5] for _ in range(40)], np.int16)
