@@ -8,7 +8,7 @@ below a Python operator that is not there already.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,11 @@ TOKENS = (
 LENIENT_EVENTS = "array<struct<kind:string,name:string,data:string,attrs:array<struct<name:string,value:string>>,is_implied:boolean,end_index:int>>"
 
 
+#: Bounds of the results that a Python worker holds at once: rows, and characters of the markup they come from.
+PIECE_ROWS = 1000
+PIECE_CHARS = 1 << 18
+
+
 class _TreeHandler:
     """Builds a plain tree from the lenient parser's events."""
 
@@ -81,18 +86,41 @@ def parser_of(parser: str | Callable | None) -> Callable[[str], tree.Node]:
     return tree.build if parser is None else PARSERS[parser] if isinstance(parser, str) else parser
 
 
-def arrow_column(fn: Callable, ddl: str, html: Column, *, deterministic: bool = True) -> Column:
-    """``fn`` of each string as an Arrow-batched function; null gives null."""
+def pieces(fn: Callable, parts: Iterable[pa.Array], kind: pa.DataType) -> Iterator[pa.Array]:
+    """Results of ``fn`` in order, in arrays of at most ``PIECE_ROWS`` rows, none begun beyond ``PIECE_CHARS`` of input."""
+    for part in parts:
+        made, chars = [], 0
+        for value in part:
+            s = value.as_py()
+            made.append(None if s is None else fn(s))
+            chars += 0 if s is None else len(s)
+            if len(made) >= PIECE_ROWS or chars >= PIECE_CHARS:
+                yield pa.array(made, type=kind)
+                made, chars = [], 0
+        if made:
+            yield pa.array(made, type=kind)
+
+
+def arrow_function(fn: Callable, ddl: str) -> Callable:
+    """``fn`` of each string as an Arrow-batched function; null gives null.
+
+    Spark sends 10,000 rows at once. Their results as Python objects are many
+    times the markup, so they go back in pieces and only one piece is held.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = T._parse_datatype_string(ddl)
     arrow_kind = to_arrow_type(kind)
 
-    def run(part: pa.Array) -> pa.Array:
-        return pa.array([None if s is None else fn(s) for s in part.to_pylist()], type=arrow_kind)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return pieces(fn, parts, arrow_kind)
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
 
-    run.__annotations__ = {"part": pa.Array, "return": pa.Array}
-    make = F.arrow_udf(run, kind)
+
+def arrow_column(fn: Callable, ddl: str, html: Column, *, deterministic: bool = True) -> Column:
+    make = arrow_function(fn, ddl)
     return (make if deterministic else make.asNondeterministic())(html)
 
 

@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from markloom.functions import render, tree
 from markloom.functions.policy import PRESETS
 
 from .legacy import compiled
-from .parse import EVENTS, register_udtfs
-
-
-def _function(fn, ddl: str):  # noqa: ANN001, ANN202
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = T._parse_datatype_string(ddl)
-    arrow_kind = to_arrow_type(kind)
-
-    def run(part: pa.Array) -> pa.Array:
-        return pa.array([None if s is None else fn(s) for s in part.to_pylist()], type=arrow_kind)
-
-    run.__annotations__ = {"part": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, kind)
+from .parse import EVENTS, arrow_function, register_udtfs
 
 
 def _cleaner(policy):  # noqa: ANN001, ANN202
@@ -36,10 +20,10 @@ def register(spark: SparkSession) -> None:
 
     Each takes one string; null gives null.
     """
-    spark.udf.register("html_text", _function(lambda s: render.plain_text(tree.build(s)), "string"))
-    spark.udf.register("html_events", _function(lambda s: render.events(tree.build(s)), EVENTS))
-    spark.udf.register("html_serialize", _function(lambda s: render.serialized(tree.build(s)), "string"))
-    spark.udf.register("html_lenient", _function(compiled().clean, "string"))
+    spark.udf.register("html_text", arrow_function(lambda s: render.plain_text(tree.build(s)), "string"))
+    spark.udf.register("html_events", arrow_function(lambda s: render.events(tree.build(s)), EVENTS))
+    spark.udf.register("html_serialize", arrow_function(lambda s: render.serialized(tree.build(s)), "string"))
+    spark.udf.register("html_lenient", arrow_function(compiled().clean, "string"))
     for name, policy in PRESETS.items():
-        spark.udf.register(f"html_sanitize_{name}", _function(_cleaner(policy), "string"))
+        spark.udf.register(f"html_sanitize_{name}", arrow_function(_cleaner(policy), "string"))
     register_udtfs(spark)

@@ -123,3 +123,25 @@ def test_walk_without_keys_keeps_documents_apart(spark):
     assert rows.count() == 2 * one and rows.select("doc").distinct().count() == 2
     with _pytest.raises(ValueError):
         Q.descendants(rows, rows)
+
+
+@pytest.mark.parametrize(("length", "most"), [(1, 1000), (20_000, 14)])
+def test_a_worker_holds_results_of_a_piece_only(spark, length, most):
+    from markloom.operators.parse import arrow_column
+
+    class Held(str):
+        alive = 0
+
+        def __del__(self):
+            Held.alive -= 1
+
+    def run(s):
+        Held.alive += 1
+        return Held(f"{Held.alive} {s[-5:].strip()}")
+
+    rows, text = 6000 if length == 1 else 2000, F.lpad(F.col("id").cast("string"), max(5, length), " ")
+    df = spark.range(0, rows, 1, 1).select("id", F.when(F.col("id") % 7 != 0, text).alias("html"))
+    out = df.select("id", arrow_column(run, "string", F.col("html")).alias("r")).collect()
+    assert [r["id"] for r in out] == list(range(rows))
+    assert all(r["r"] is None if r["id"] % 7 == 0 else int(r["r"].split()[1]) == r["id"] for r in out)
+    assert max(int(r["r"].split()[0]) for r in out if r["r"]) <= most
