@@ -14,6 +14,7 @@ from markloom.functions.policy import PRESETS, Builder, Policy
 from .parse import arrow_column, attributes, nodes, parse_events, parser_of
 
 REMOVED = "array<struct<kind:string,name:string,reason:string>>"
+REPORT = f"struct<html:string,removed:{REMOVED}>"
 CHUNK = 16_384
 
 
@@ -41,16 +42,15 @@ class Sanitizer:
 
     trusted_html = sanitize  # a cluster has no DOM to hand wrapped values to
 
+    def _report(self, root) -> dict:  # noqa: ANN001
+        removed: list = []
+        out = "".join(render.sanitized(root, self.policy, removed))
+        return {"html": out, "removed": [dict(zip(("kind", "name", "reason"), r, strict=True)) for r in removed]}
+
     def report(self, html: Column) -> Column:
         """struct(html, removed): the same HTML, and what went in document order."""
-        build, policy = self._tree(), self.policy
-
-        def run(s: str) -> dict:
-            removed: list = []
-            out = "".join(render.sanitized(build(s), policy, removed))
-            return {"html": out, "removed": [dict(zip(("kind", "name", "reason"), r, strict=True)) for r in removed]}
-
-        return arrow_column(run, f"struct<html:string,removed:{REMOVED}>", html)
+        build = self._tree()
+        return arrow_column(lambda s: self._report(build(s)), REPORT, html)
 
     def unsafe(self, html: Column) -> Column:
         """The same allow-list without the baseline."""
@@ -88,6 +88,17 @@ class Sanitizer:
         return E.removals(events, self.policy)
 
 
+def reports(html: Column, policies: Mapping[str, Policy | str], parser: str | Callable | None = None) -> Column:
+    """Struct of the reports of several policies by name: one parse and one worker for all."""
+    build, made = parser_of(parser), {name: Sanitizer(p, parser) for name, p in policies.items()}
+
+    def run(s: str) -> dict:
+        root = build(s)
+        return {name: one._report(root) for name, one in made.items()}
+
+    return arrow_column(run, "struct<" + ",".join(f"`{name}`:{REPORT}" for name in made) + ">", html)
+
+
 def escape_text(c: Column) -> Column:
     return E.escape_text(c)
 

@@ -145,3 +145,13 @@ def test_a_worker_holds_results_of_a_piece_only(spark, length, most):
     assert [r["id"] for r in out] == list(range(rows))
     assert all(r["r"] is None if r["id"] % 7 == 0 else int(r["r"].split()[1]) == r["id"] for r in out)
     assert max(int(r["r"].split()[0]) for r in out if r["r"]) <= most
+
+
+def test_reports_of_several_policies(spark):
+    html = '<div onclick=a><script>x</script><a href="javascript:b" title=t>c</a><p style="color:red">d'
+    df = spark.createDataFrame([(html,), (None,), ("",)], "html string")
+    names = ("none", "basic", "ugc")
+    one = df.select("html", *[S.Sanitizer(n).report(F.col("html")).alias(n) for n in names])
+    both = df.select("html", S.reports(F.col("html"), {n: n for n in names}).alias("r")).select("html", *[f"r.{n}" for n in names])
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, one.collect()))
+    assert df.limit(0).select(S.reports(F.col("html"), {"none": "none"}).alias("r")).collect() == []
